@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, near_dedup, packing, quality_model
+from tessera.llm import exact_dedup, language, mixing, near_dedup, packing, pii, quality_model, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,26 @@ def op2_exact_dedup_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(_table(spark, sf_dir, "documents"), 8)
+
+
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op5_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 #: op8: budget as a share of all tokens, passes over a leaf, weights of domains d0..d3 and of languages.
 MIX = {"share": 0.6, "epochs": 2, "seed": 17}
 
@@ -46,16 +62,22 @@ def op9_quality_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
-        "op2_exact_dedup_recipes": op2_exact_dedup_recipes,
-        "op6_near_dedup_odd_sketch": op6_near_dedup_odd_sketch,
-        "op8_mix_hierarchical": op8_mix_hierarchical,
-        "op9_quality_empirical_bayes": op9_quality_empirical_bayes,
-    }
+    found = (op1_pack_sum_of_squares, op2_exact_dedup_recipes, op3_kd_shards, op4_warc_salvage, op5_pii_skip_chain, op6_near_dedup_odd_sketch, op7_language_backoff, op8_mix_hierarchical, op9_quality_empirical_bayes, op10_perplexity_rules)
+    return {f.__name__: f for f in found}
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS head FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to FROM m
+"""
 EXACT_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS cp,
@@ -120,4 +142,4 @@ def _crc_table() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup_recipes": EXACT_SQL, "op8_mix_hierarchical": MIX_SQL.replace("{crc}", _crc_table())}
+    return {"op2_exact_dedup_recipes": EXACT_SQL, "op4_warc_salvage": WARC_SQL, "op8_mix_hierarchical": MIX_SQL.replace("{crc}", _crc_table())}

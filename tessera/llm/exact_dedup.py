@@ -67,7 +67,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     listed = cut(recipes(docs, text, key, least, most).withColumn("recipe", F.transform("recipe", lambda c: F.when(c.content == "", c.h.cast("string")).otherwise(F.concat(c.h.cast("string"), F.lit(":"), c.content)))), "recipes")
     best = F.max(F.struct(F.col("code_points"), F.col("id").isNotNull(), -F.col("id"))).alias("best")
     heads = listed.groupBy("recipe").agg(F.count(F.lit(1)).alias("n"), best).where("n > 1")
-    heads = heads.select(F.col("recipe").alias("same"), "n", (-F.col("best.col3")).alias("head"))
+    # a table of its own, so that the join has its own exchanges, which adaptive execution may split at a hot recipe
+    heads = cut(heads.select(F.col("recipe").alias("same"), "n", (-F.col("best.col3")).alias("head")), "recipe-heads")
     out = listed.join(heads, F.col("recipe") == F.col("same"), "left")
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("head"))
     return out.select(F.col("id").alias(key), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))

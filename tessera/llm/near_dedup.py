@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, keep_rows, slices
+from tessera.llm.common import cut, keep_rows, slices, text_batches
 from tessera.llm.components import connected_components
 from tessera.llm.wordhash import Words, mix, shingle_sets
 
@@ -51,7 +51,7 @@ def sequence_keys(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarr
     data = _encode(texts)
     keys = [hashlib.blake2b(b" ".join(d.split()), digest_size=16).digest() for d in data]
     sizes = np.zeros(len(texts), np.int64)
-    for a, b in slices([len(d) for d in data], 1 << 20):
+    for a, b in slices([len(d) for d in data], 1 << 19):
         sizes[a:b] = np.diff(shingle_sets(Words(data[a:b]), n)[2])
     return np.array(keys, object), sizes
 
@@ -150,7 +150,7 @@ def _exact_edges(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 85, bands: int = 24, rows: int = 5, bits: int = 512, loose: float = 0.65, heavy: int = 4096) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     k = bands * rows
 
@@ -168,7 +168,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             data = _encode(f["text"].tolist())
-            for a, b in slices([len(d) for d in data], 1 << 20):
+            for a, b in slices([len(d) for d in data], 1 << 19):
                 value, _, first = shingle_sets(Words(data[a:b]), n)
                 sig = signatures(value, first, k)
                 held = np.diff(first) > 0
@@ -227,7 +227,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             data = _encode(f["text"].tolist())
-            for a, b in slices([len(d) for d in data], 1 << 20):
+            for a, b in slices([len(d) for d in data], 1 << 19):
                 value, _, first = shingle_sets(Words(data[a:b]), n)
                 yield pd.DataFrame({"id": f["id"].to_numpy()[a:b], "family": f["family"].to_numpy()[a:b], "shingles": [value[first[i] : first[i + 1]].tobytes() for i in range(b - a)]})
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import cut, shared_dir
 
 CRLF, END = b"\r\n", b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
@@ -145,8 +145,11 @@ def records_of(pages: DataFrame, least: int = 1000) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     base = base.select("*", F.octet_length("payload").cast("long").alias("bytes"), digest.alias("digest"))
     big = base.where(F.col("bytes") >= least)
-    heads = big.groupBy(F.sha2("payload", 256).alias("same"), F.col("bytes").alias("b2")).agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select("same", "head")
-    keyed = base.withColumn("full", F.when(F.col("bytes") >= least, F.sha2("payload", 256)))
+    same = F.unhex(F.sha2("payload", 256))
+    heads = big.groupBy(same.alias("same")).agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select("same", "head")
+    # a table of its own: while it is below the broadcast threshold, payloads are written without a shuffle
+    heads = cut(heads, "warc-heads")
+    keyed = base.withColumn("full", F.when(F.col("bytes") >= least, same))
     rows = keyed.join(heads, F.col("full") == F.col("same"), "left")
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     target = F.coalesce(F.regexp_replace(F.col("url"), "[^\\x21-\\x7E]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, slices, text_batches
 from tessera.llm.wordhash import Words
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -134,7 +134,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for f in frames:
             for lang, part in f.groupby("lang"):
                 data = _texts(part["text"].tolist())
-                for a, b in slices([len(d) for d in data], 1 << 20):
+                for a, b in slices([len(d) for d in data], 1 << 19):
                     words = Words(data[a:b], letter_runs)
                     if not len(words.hash):
                         continue
@@ -176,6 +176,7 @@ def train(docs: DataFrame, share_per_language: float = 2.5e-7) -> Model:
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """One row per document: key, held_out, lang_pred, score."""
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"))
     model = train(base.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
             data = _texts(f["text"].tolist())
             pred, prob = np.full(len(f), "und", object), np.zeros(len(f))
             if m.languages:
-                for a, b in slices([len(d) for d in data], 1 << 20):
+                for a, b in slices([len(d) for d in data], 1 << 19):
                     s = m.score(data[a:b])
                     s -= s.max(1, keepdims=True)
                     p = np.exp(s)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, slices, text_batches
 from tessera.llm.wordhash import Words
 
 _loaded: dict = {}
@@ -144,6 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end: int = 1, key:
                     rows.append((i, k, s // 4, len(cutout) // 4, zlib.crc32(cutout)))
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("id"), "text")
     kind = base.schema["id"].dataType.simpleString()
     return base.mapInPandas(batches, f"id {kind}, piece int, start long, length long, ids_crc32 long")

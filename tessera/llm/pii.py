@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -166,6 +166,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", skip: float = 4.0, clip: float = 3.0) -> DataFrame:
     """One row per document: key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     item = "array<struct<label:string,start:int,end:int,shape:string,key:string>>"

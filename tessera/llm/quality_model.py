@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, keep_rows
+from tessera.llm.common import cut, keep_rows, text_batches
 
 #: Bytes counted by the features.
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -87,6 +87,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", host: Col
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     blank = "?"
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("id"), F.coalesce(host.cast("string"), F.lit(blank)).alias("host"), F.coalesce(path.cast("string"), F.lit(blank)).alias("path"), F.col("text").alias("text"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, slices, text_batches
 from tessera.llm.wordhash import Words, grams
 
 ORDER, BITS = 5, 12
@@ -59,7 +59,7 @@ def base_stats(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), 5), np.int64)
     plain = [t or "" for t in texts]
     data = [t.encode("utf-8", "surrogatepass") for t in plain]
-    for a, b in slices([len(d) for d in data], 1 << 20):
+    for a, b in slices([len(d) for d in data], 1 << 19):
         words = Words(data[a:b])
         out[a:b, 0] = np.diff(words.first)
         value, doc = grams(words, 3)
@@ -101,7 +101,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             for lang, part in f.groupby("lang"):
                 texts = _lower(part["text"].tolist())
                 waiting: list[tuple[np.ndarray, np.ndarray]] = []
-                for a, b in slices([len(t) for t in texts], 1 << 20):
+                for a, b in slices([len(t) for t in texts], 1 << 19):
                     waiting.append(np.unique(_codes(texts[a:b])[0], return_counts=True))
                 for keys, times in waiting:
                     add(lang, keys, times)
@@ -209,6 +209,7 @@ def _discounts(n: list[int]) -> np.ndarray:
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", low: float = 8.0, high: float = 8.0, least_words: int = 50, share: float = 5e-7) -> DataFrame:
     """One row per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity."""
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("?")).alias("lang"))
     models = train(count_grams(base.where("text IS NOT NULL").select("lang", "text")), share)
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -224,7 +225,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             for name in set(langs.tolist()) & known.keys():
                 rows = np.flatnonzero(langs == name)
                 texts = _lower([f["text"].iloc[k] for k in rows])
-                for a, b in slices([len(t) for t in texts], 1 << 20):
+                for a, b in slices([len(t) for t in texts], 1 << 19):
                     packed, doc = _codes(texts[a:b])
                     if len(packed):
                         total = np.bincount(doc, known[name].log_prob(packed), b - a)

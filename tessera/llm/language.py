@@ -177,10 +177,10 @@ def train(docs: DataFrame, share_per_language: float = 2.5e-7) -> Model:
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """One row per document: key, held_out, lang_pred, score."""
     text_batches(docs.sparkSession)
-    base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"))
+    kind = docs.schema[key].dataType
+    base = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"))
     model = train(base.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = base.schema["id"].dataType.simpleString()
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -199,8 +199,8 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
                         pred[k], prob[k] = "und", 0.0
             yield pd.DataFrame({"id": f["id"], "held_out": f["held_out"], "lang_pred": pred, "score": prob})
 
-    out = base.select("id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out")).mapInPandas(predict, f"id {kind}, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", key)
+    out = base.select("id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out")).mapInPandas(predict, "id string, held_out boolean, lang_pred string, score double")
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)
 
 
 def held_out(doc_id: int) -> bool:

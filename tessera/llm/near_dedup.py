@@ -159,7 +159,9 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
             keys, sizes = sequence_keys(f["text"].tolist(), n)
             yield pd.DataFrame({"id": f["id"], "seq": keys, "n_shingles": sizes})
 
-    members = cut(base.mapInPandas(keyed, "id long, seq binary, n_shingles long"), "near-members")
+    # ids travel as text here, so that nulls don't make them floats
+    made = base.withColumn("id", F.col("id").cast("string")).mapInPandas(keyed, "id string, seq binary, n_shingles long")
+    members = cut(made.withColumn("id", F.col("id").cast("long")), "near-members")
     heads = members.where("n_shingles > 0 AND id IS NOT NULL").groupBy("seq").agg(F.min("id").alias("rep"))
 
     # signatures of representatives only; the sequence key makes sure that a repeated doc_id signs the right text
@@ -175,6 +177,8 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
                 keys = mix(np.stack([sum((sig[:, x * rows + r] * np.uint64(2 * r + 3) for r in range(rows)), np.uint64(x)) for x in range(bands)], 1).astype(np.uint64)).view(np.int64)
                 sketch = odd_sketch(sig, bits)
                 at = np.flatnonzero(held)
+                if not len(at):
+                    continue
                 yield pd.DataFrame({"id": f["id"].to_numpy()[a:b][at], "keys": [keys[i] for i in at], "sketch": [sketch[i].tobytes() for i in at]})
 
     signs = cut(base.where("id IS NOT NULL").mapInPandas(signed, "id long, keys array<long>, sketch binary"), "near-signatures")

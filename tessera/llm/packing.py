@@ -145,9 +145,10 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end: int = 1, key:
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
     text_batches(docs.sparkSession)
-    base = docs.select(F.col(key).alias("id"), "text")
-    kind = base.schema["id"].dataType.simpleString()
-    return base.mapInPandas(batches, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    kind = docs.schema[key].dataType
+    base = docs.select(F.col(key).cast("string").alias("id"), "text")  # as text, nulls don't make numbers floats
+    made = base.mapInPandas(batches, "id string, piece int, start long, length long, ids_crc32 long")
+    return made.withColumn("id", F.col("id").cast(kind))
 
 
 def sum_of_squares(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -186,7 +187,7 @@ def sum_of_squares(lengths: np.ndarray, room: int) -> np.ndarray:
 def pack(pieces_: DataFrame, room: int = 4096, group: int = 2000, rounds: int = 3, full: float = 0.999, seed: int = 3, id_type: str = "bigint") -> DataFrame:
     """Adds sequence_id and offset to rows of pieces()."""
     spark = pieces_.sparkSession
-    schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long, h long, grp long, bin long, offset long, used long"
+    schema = "id string, piece int, start long, length long, ids_crc32 long, h long, grp long, bin long, offset long, used long"
     todo = cut(pieces_.withColumn("h", F.xxhash64("id", "piece", "start", "length", "ids_crc32", F.lit(seed))), "pieces")
     whole = todo.where(F.col("length") == room)
     done = whole.select("id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -209,8 +210,9 @@ def pack(pieces_: DataFrame, room: int = 4096, group: int = 2000, rounds: int =
             f["offset"], f["used"] = offset, np.bincount(b, length)[b].astype(np.int64)
             return f[[c.split()[0] for c in schema.split(", ")]]
 
-        dealt = todo.withColumn("grp", F.pmod(F.xxhash64("h", F.lit(k)), F.lit(groups)))
-        placed = cut(dealt.groupBy("grp").applyInPandas(one, schema), f"packed-{k}")
+        dealt = todo.withColumn("grp", F.pmod(F.xxhash64("h", F.lit(k)), F.lit(groups))).withColumn("id", F.col("id").cast("string"))
+        placed = dealt.groupBy("grp").applyInPandas(one, schema)
+        placed = cut(placed.withColumn("id", F.col("id").cast(id_type)), f"packed-{k}")
         settled = placed if last else placed.where(F.col("used") >= int(full * room))
         number = F.lit(k << 60) + F.shiftleft(F.col("grp"), 24) + F.col("bin")
         parts.append(settled.select("id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset"))

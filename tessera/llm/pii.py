@@ -167,8 +167,8 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", skip: float = 4.0, clip: float = 3.0) -> DataFrame:
     """One row per document: key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
     text_batches(docs.sparkSession)
-    base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = base.schema["id"].dataType.simpleString()
+    kind = docs.schema[key].dataType
+    base = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))  # as text, nulls don't make numbers floats
     item = "array<struct<label:string,start:int,end:int,shape:string,key:string>>"
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +176,7 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", skip: flo
             rows = [[dict(zip(("label", "start", "end", "shape", "key"), c, strict=True)) for c in candidates(t)] if t else [] for t in f["text"]]
             yield pd.DataFrame({"id": f["id"], "vars": rows})
 
-    rows = cut(base.mapInPandas(read, f"id {kind}, vars {item}"), "pii-spans")
+    rows = cut(base.mapInPandas(read, f"id string, vars {item}"), "pii-spans")
     spans = rows.where("size(vars) > 0").select(F.explode("vars").alias("v"))
     shapes = spans.groupBy("v.shape", "v.label").agg(F.count(F.lit(1)).alias("n")).toPandas()  # shapes are a few hundred
     ahead = F.expr("transform(sequence(1, size(vars) - 1), k -> named_struct('a', vars[k - 1].label, 'b', vars[k].label, 'gap', vars[k].start - vars[k - 1].end))")
@@ -202,5 +202,5 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", skip: flo
                 out.append((i, *(held.count(k) for k in KINDS), hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(own + added), len(added)))
             yield pd.DataFrame(out, columns=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return rows.mapInPandas(infer, schema).withColumnRenamed("id", key)
+    schema = "id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    return rows.mapInPandas(infer, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)

@@ -88,14 +88,15 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", host: Col
     path = F.col("lang") if path is None else path
     blank = "?"
     text_batches(docs.sparkSession)
-    base = docs.select(F.col(key).alias("id"), F.coalesce(host.cast("string"), F.lit(blank)).alias("host"), F.coalesce(path.cast("string"), F.lit(blank)).alias("path"), F.col("text").alias("text"))
+    kind = docs.schema[key].dataType
+    base = docs.select(F.col(key).cast("string").alias("id"), F.coalesce(host.cast("string"), F.lit(blank)).alias("host"), F.coalesce(path.cast("string"), F.lit(blank)).alias("path"), F.col("text").alias("text"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "host": f["host"], "path": f["path"], "x": [features(t) for t in f["text"]]})
 
-    id_type = base.schema["id"].dataType.simpleString()
-    rows = cut(base.mapInPandas(batches, f"id {id_type}, host string, path string, x array<double>"), "quality-features")
+    made = base.mapInPandas(batches, "id string, host string, path string, x array<double>")
+    rows = cut(made.withColumn("id", F.col("id").cast(kind)), "quality-features")
     known = labels.where(F.col(target).isNotNull()).groupBy(F.col(key).alias("known")).agg(F.avg(F.col(target).cast("double")).alias("y"))
     picked = rows.where("x IS NOT NULL").join(known, F.col("id") == F.col("known")).select("x", "y", F.xxhash64("id", F.lit(5)).alias("o")).orderBy("o").limit(sample).toPandas()
     if picked.empty or (picked["y"] > 0.5).nunique() < 2:

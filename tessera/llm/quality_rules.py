@@ -185,7 +185,7 @@ def train(counts: DataFrame, share: float = 5e-7) -> dict[str, Model]:
             ctx, place = np.unique(key >> BITS, return_inverse=True)
             weight = np.maximum(1 - np.bincount(place, own, len(ctx)), 1e-9)
             if lower is None:
-                m.floor = 1 / (len(key) + 100)
+                m.floor = 1 / (len(key) + 1)  # one unknown character
                 base = np.full(len(key), m.floor)
             else:
                 base = lower.prob(key & ((1 << (BITS * (order - 1))) - 1), ORDER - order + 1)
@@ -210,10 +210,10 @@ def _discounts(n: list[int]) -> np.ndarray:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", low: float = 8.0, high: float = 8.0, least_words: int = 50, share: float = 5e-7) -> DataFrame:
     """One row per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity."""
     text_batches(docs.sparkSession)
-    base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("?")).alias("lang"))
+    kind = docs.schema[key].dataType
+    base = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("?")).alias("lang"))
     models = train(count_grams(base.where("text IS NOT NULL").select("lang", "text")), share)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    kind = base.schema["id"].dataType.simpleString()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +234,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                         logs[rows[a:b][full]] = -total[full] / size[full]
             yield pd.DataFrame({"id": f["id"], "lang": langs, **{n: stats[:, k] for k, n in enumerate(names)}, "logp": logs})
 
-    schema = f"id {kind}, lang string, {', '.join(f'{n} long' for n in names)}, logp double"
+    schema = f"id string, lang string, {', '.join(f'{n} long' for n in names)}, logp double"
     rows = cut(base.mapInPandas(measure, schema).withColumn("logp", F.nanvl("logp", F.lit(None).cast("double"))), "rules")
     bands = rows.where((F.col("n_words") >= least_words) & F.col("logp").isNotNull()).groupBy(F.col("lang").alias("lang2"))
     bands = bands.agg(F.percentile_approx("logp", [0.25, 0.5, 0.75], 10_000).alias("q"))
@@ -243,4 +243,4 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     judged = rows.join(bands, F.col("lang") == F.col("lang2"), "left")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.coalesce(F.col("logp").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return judged.select(F.col("id").alias(key), *names, failed.alias("base_failed"), (~failed & inside).alias("kept"), F.col("logp").alias("log_perplexity"))
+    return judged.select(F.col("id").cast(kind).alias(key), *names, failed.alias("base_failed"), (~failed & inside).alias("kept"), F.col("logp").alias("log_perplexity"))

@@ -34,6 +34,8 @@ from tessera.llm.common import cut, shared_dir
 CRLF, END = b"\r\n", b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
+_NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
 MOST_HEADER = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,7 +74,7 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
             headers[last] += " " + line.strip().decode("utf-8", "replace")
             continue
         name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
+        if not colon or not _NAME.fullmatch(name.strip()) or _CONTROL.search(value):
             raise Damaged("bad header line")
         last = name.strip().decode("utf-8", "replace").lower()
         headers[last] = value.strip().decode("utf-8", "replace")

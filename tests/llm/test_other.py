@@ -90,7 +90,7 @@ def test_salvage_never_loses_whole_records():
         cut = rng.randrange(1, len(own))
         parts[hurt] = bytes(own[:cut]) if rng.random() < 0.5 else bytes(own[:cut]) + rng.randbytes(3) + bytes(own[cut + 1 :])
         got = warc.salvage(b"".join(parts))
-        assert {int(r.headers["x-page-id"]) for r in got.records} >= set(range(8)) - {hurt}
+        assert {r.headers.get("x-page-id") for r in got.records} >= {str(n) for n in range(8) if n != hurt}
         spans = [(a, b) for a, b, _ in got.gaps]
         assert all(a < b for a, b in spans)
     assert warc.salvage(b"").records == [] and warc.salvage(b"WARC/1.0\r\n").gaps
@@ -331,8 +331,8 @@ def test_kneser_ney(spark):
         for c in context:
             base = base << quality_rules.BITS | ord(c)
         grams = np.array([base << quality_rules.BITS | ord(c) for c in alphabet])
-        p = model.prob(grams)
-        assert (p > 0).all() and 0.85 < p.sum() < 1.05
+        p = model.prob(np.append(grams, base << quality_rules.BITS | 999))
+        assert (p > 0).all() and abs(p.sum() - 1) < 0.01
     assert all((np.diff(k) > 0).all() for k in model.keys)
 
 

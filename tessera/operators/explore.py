@@ -77,7 +77,7 @@ def pca_2d(points: DataFrame, rows: int | None = None) -> DataFrame:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    from tessera.functions.vectors import mean_vector
+    from tessera.functions.vectors import constant, mean_vector
 
     fit = points if rows is None else points.orderBy(F.xxhash64("id")).limit(rows)
     first = mean_vector(fit).first()
@@ -85,7 +85,7 @@ def pca_2d(points: DataFrame, rows: int | None = None) -> DataFrame:
         return points.sparkSession.createDataFrame([], "id long, x double, y double")
     mean = list(first["mean"])
     k = min(2, len(mean))
-    at = F.array(*[F.lit(m) for m in mean])
+    at = constant(mean)
     centred = lambda df: df.select("id", array_to_vector(F.zip_with(F.col("vector").cast("array<double>"), at, lambda a, b: a - b)).alias("v"))
     model = PCA(k=k, inputCol="v", outputCol="p").fit(centred(fit))
     load = model.pc.toArray()

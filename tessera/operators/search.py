@@ -20,8 +20,9 @@ def top_k(points: DataFrame, query: Sequence[float], k: int, metric: Metric | st
     """(id, score) of the k best, ties by id: each task keeps k rows, one merge of those."""
     metric = Metric.parse(metric)
     rows = admit(points, where)
-    scored = rows.select("id", score(metric, "vector", list(query)).alias("score"), *keep).where("score IS NOT NULL")
-    return scored.orderBy(*order(metric)).limit(max(0, k))
+    scored = rows.select("id", score(metric, "vector", list(query)).alias("score"), *keep)
+    # rows without a score sort last and go after the limit: a filter before it would score every row twice
+    return scored.orderBy(*order(metric)).limit(max(0, k)).where("score IS NOT NULL")
 
 
 def admit(points: DataFrame, where: Filter | Column | None) -> DataFrame:
@@ -124,7 +125,7 @@ def rescored_top_k(points: DataFrame, query: Sequence[float], k: int, metric: Me
     if scale is None:
         scale = points.agg(q8_scale(points).alias("s")).first()["s"]
     codes = [int(max(-127, min(127, np.sign(x) * np.floor(abs(x) / scale + 0.5)))) for x in query]
-    coded = points.select("id", "vector", q8_badness(metric, q8_encode("vector", float(scale)), F.array(*[F.lit(c) for c in codes])).alias("q"))
+    coded = points.select("id", "vector", q8_badness(metric, q8_encode("vector", float(scale)), F.expr("array(" + ", ".join(map(str, codes)) + ")")).alias("q"))
     rough = coded.orderBy("q", "id").limit(k * oversample)
     return top_k(rough, query, k, metric)
 

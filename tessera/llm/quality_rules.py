@@ -240,6 +240,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     bands = bands.agg(F.percentile_approx("logp", [0.25, 0.5, 0.75], 10_000).alias("q"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.02))
     bands = bands.select("lang2", (F.col("q")[0] - F.lit(low) * spread).alias("lower"), (F.col("q")[2] + F.lit(high) * spread).alias("upper"))
+    bands = cut(bands, "rule-bands")  # one row a language: a table of its own, so that the join doesn't deal all rows by language
     judged = rows.join(bands, F.col("lang") == F.col("lang2"), "left")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.coalesce(F.col("logp").between(F.col("lower"), F.col("upper")), F.lit(True))

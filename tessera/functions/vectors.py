@@ -1,6 +1,6 @@
 """Vector arithmetic as Columns (higher-order functions), in double precision, sums left to right.
 
-A constant query is one folded literal. Unrolling it into plain arithmetic was measured and is 3 to 5 times slower:
+A constant query is one folded literal. Unrolling it into plain arithmetic was measured and is several times slower:
 the generated method is too large for the JIT.
 """
 

@@ -409,3 +409,21 @@ def test_streaming(spark, box, tmp_path):
     spark.createDataFrame([("delete", 2, None, None)], schema).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert box.count() == 5 and box.head_version == 1
+
+
+def test_command_line(spark, tmp_path):
+    from tessera.cli import main
+
+    root = f"file://{tmp_path}/cat"
+    run = lambda *a: [json.loads(x) for x in main(["--root", root, *a], spark)]
+    (tmp_path / "p.jsonl").write_text("".join(json.dumps({"vector": wave(4, i), "payload": {"n": i}}) + "\n" for i in range(6)))
+    assert run("create", "c", "--dim", "4", "--metric", "dot") == [{"created": "c"}]
+    assert run("upsert", "c", f"file://{tmp_path}/p.jsonl")[0]["count"] == 6
+    assert run("commit", "c", "--tag", "t") == [{"version": 0}]
+    assert run("batch", "c", "--delete", "1", "2", "--commit", "--message", "m")[0] == {"first_id": 6, "count": 0, "deleted": 2, "version": 1}
+    assert len(run("query", "c", json.dumps(wave(4, 3)), "-k", "9")) == 4 and len(run("query", "c", json.dumps(wave(4, 3)), "--tag", "t")) == 6
+    assert run("query", "c", json.dumps(wave(4, 3)), "--filter", '{"must": [{"key": "n", "match": 3}]}')[0]["id"] == 3
+    assert [r["id"] for r in run("diff", "c", "0", "1")] == [1, 2]
+    assert run("scroll", "c", "--offset", "3")[-1] == {"total": 4} and run("get", "c", "1") == [None]
+    assert run("list")[0]["count"] == 4 and len(run("versions", "c")) == 2
+    assert run("restore", "c", "0") == [{"version": 2}]

@@ -375,3 +375,27 @@ def test_pipeline(spark):
         at = after
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in at.select("doc_id").collect()}
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage, on what its predecessor kept, against the plain version of its operator."""
+    from test_dedup import brute_exact, brute_near
+    from test_packing import check
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from tessera.llm.common import cut
+
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    good = cut(stages[0](spark, docs, SF), "t")
+    assert ids(good) == ids(quality_model.score(docs, labels).where("kept"))
+    one = cut(stages[1](spark, good, SF), "t")
+    assert ids(one) == {i for i, k, *_ in brute_exact(good.collect()) if i == k}
+    apart = cut(stages[2](spark, one, SF), "t")
+    assert ids(apart) == {i for i, _, _, kept in brute_near(one.collect()) if kept}
+    mixed = cut(stages[3](spark, apart, SF), "t")
+    assert ids(mixed) == {i for i, (_, _, taken) in brute_mix(apart.collect(), corpus_pipeline.MIX_SHARE, 1, lambda k: 1).items() if taken}
+    check(stages[4](spark, mixed, SF).collect(), mixed.collect(), Tokenizer.from_file(queries.tokenizer_path()), 4096)

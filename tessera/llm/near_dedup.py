@@ -224,8 +224,8 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
         if held:
             yield from found(pd.concat(held, ignore_index=True))
 
-    forest = met.repartition("place").sortWithinPartitions("place").mapInPandas(runs, "a long, b long").where("a <> b").distinct()
-    families = cut(connected_components(cut(forest, "near-candidates")), "near-families")  # node, component
+    forest = met.repartition("place").sortWithinPartitions("place").mapInPandas(runs, "a long, b long")
+    families = connected_components(forest)  # node, component
 
     # full sets of family members, dealt as pairs of blocks
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,10 +250,10 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
         edges = _exact_edges([np.frombuffer(f["shingles"].iloc[k], np.uint64) for k in order], percent)
         return pd.DataFrame({"a": [ids[order[a]] for a, _ in edges], "b": [ids[order[b]] for _, b in edges]}, dtype="int64")
 
-    links = cut(dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b").distinct(), "near-links")
+    links = dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
     # the rows of one sequence hang on its representative; a doc_id with several texts joins their groups
     repeated = members.where("n_shingles > 0 AND id IS NOT NULL").join(heads, "seq").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    groups = connected_components(cut(links, "near-exact").union(repeated).distinct())
+    groups = connected_components(links.union(repeated))
     out = members.join(groups, F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

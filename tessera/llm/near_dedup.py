@@ -183,12 +183,14 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
 
     signs = cut(base.where("id IS NOT NULL").mapInPandas(signed, "id long, keys array<long>, sketch binary"), "near-signatures")
     signs = signs.join(reps.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
-    placed = signs.select("id", "sketch", F.posexplode("keys").alias("band", "bucket"))
-    crowds = signs.select(F.posexplode("keys").alias("band", "bucket")).groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    crowds = crowds.select(F.col("band").alias("band2"), F.col("bucket").alias("bucket2"), F.ceil(F.col("m") / F.lit(heavy)).cast("int").alias("blocks"))
-    met = placed.join(crowds, (F.col("band") == F.col("band2")) & (F.col("bucket") == F.col("bucket2")))
+    # bucket keys differ by band; sketches follow only into buckets that have company
+    placed = signs.select("id", F.explode("keys").alias("bucket"))
+    crowds = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    crowds = crowds.select(F.col("bucket").alias("bucket2"), F.ceil(F.col("m") / F.lit(heavy)).cast("int").alias("blocks"))
+    met = placed.join(crowds, F.col("bucket") == F.col("bucket2"))
     met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("id", "sketch", F.xxhash64("band", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"))
+    met = met.select(F.col("id").alias("member"), F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"))
+    met = met.join(signs.select("id", "sketch"), F.col("id") == F.col("member")).select("id", "sketch", "place")
     most = most_odd(loose, k, bits)
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

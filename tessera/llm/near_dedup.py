@@ -163,6 +163,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     made = base.withColumn("id", F.col("id").cast("string")).mapInPandas(keyed, "id string, seq binary, n_shingles long")
     members = cut(made.withColumn("id", F.col("id").cast("long")), "near-members")
     heads = members.where("n_shingles > 0 AND id IS NOT NULL").groupBy("seq").agg(F.min("id").alias("rep"))
+    heads = cut(heads, "near-heads")  # so that the join below has its own exchanges, which may be split at a hot sequence
 
     # signatures of representatives only; the sequence key makes sure that a repeated doc_id signs the right text
     reps = heads.select(F.col("rep"), F.col("seq").alias("rep_seq"))

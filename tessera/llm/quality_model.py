@@ -98,6 +98,9 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", host: Col
     made = base.mapInPandas(batches, "id string, host string, path string, x array<double>")
     rows = cut(made.withColumn("id", F.col("id").cast(kind)), "quality-features")
     known = labels.where(F.col(target).isNotNull()).groupBy(F.col(key).alias("known")).agg(F.avg(F.col(target).cast("double")).alias("y"))
+    # thin the labelled rows by hash to about the sample first, so that tasks don't each send `sample` rows
+    share = min(1.0, 1.5 * sample / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("known", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = rows.where("x IS NOT NULL").join(known, F.col("id") == F.col("known")).select("x", "y", F.xxhash64("id", F.lit(5)).alias("o")).orderBy("o").limit(sample).toPandas()
     if picked.empty or (picked["y"] > 0.5).nunique() < 2:
         evidence = F.lit(0.5)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.filters import Filter
 from tessera.functions.vectors import Metric, order, q8_badness, q8_encode, q8_scale, score
+from tessera.sources.ship import ship_package
 
 #: Query vectors sent to the tasks at once; larger query sets go in blocks of this many bytes.
 BLOCK_BYTES = 32 << 20
@@ -56,6 +57,7 @@ def batch_top_k(points: DataFrame, queries: DataFrame, k: int, metric: Metric |
     """
     metric = Metric.parse(metric)
     spark = points.sparkSession
+    ship_package(spark)
     if k <= 0:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int")
     base = points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))

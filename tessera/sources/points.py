@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.ship import ship_package
+
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(vector, payload) from lines {"vector": [...], "payload": {...}}.
@@ -30,6 +32,7 @@ def read_vecs(spark: SparkSession, path: str, kind: str = "f") -> DataFrame:
     """(file, ordinal, vector) from .fvecs ('f') or .ivecs ('i') files: little-endian [int32 d][d values] records."""
     if kind not in ("f", "i"):
         raise ValueError("kind is 'f' or 'i'")
+    ship_package(spark)
     element = "float" if kind == "f" else "int"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

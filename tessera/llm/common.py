@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.ship import ship_package
+
 #: The ASCII white space of the contracts, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -30,6 +32,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def text_batches(spark: SparkSession, rows: int = 512) -> None:
     """Send whole texts to Python in small Arrow batches, so that a worker holds a few MB of them at a time."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

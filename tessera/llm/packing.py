@@ -186,7 +186,7 @@ def sum_of_squares(lengths: np.ndarray, room: int) -> np.ndarray:
 
 def pack(pieces_: DataFrame, room: int = 4096, group: int = 2000, rounds: int = 3, full: float = 0.999, seed: int = 3, id_type: str = "bigint") -> DataFrame:
     """Adds sequence_id and offset to rows of pieces()."""
-    spark = pieces_.sparkSession
+    text_batches(pieces_.sparkSession)
     schema = "id string, piece int, start long, length long, ids_crc32 long, h long, grp long, bin long, offset long, used long"
     todo = cut(pieces_.withColumn("h", F.xxhash64("id", "piece", "start", "length", "ids_crc32", F.lit(seed))), "pieces")
     whole = todo.where(F.col("length") == room)

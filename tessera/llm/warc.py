@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, shared_dir
+from tessera.sources.ship import ship_package
 
 CRLF, END = b"\r\n", b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
@@ -184,6 +185,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, per_file: int
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, kind ('record' or 'gap'), end, reason, page_id, record_type, uri, payload_bytes, payload_digest, refers_to, payload."""
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     schema = "file string, kind string, offset long, end long, reason string, page_id long, record_type string, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     names = [c.split()[0] for c in schema.split(", ")]

@@ -148,6 +148,19 @@ def _exact_edges(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _perhaps_among(rows: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Rows whose key may be in ids (one column), by a bitmap of fixed size; an exact join is to follow.
+
+    The bitmap is a table of at most bits / 64 words, broadcast; with more ids than bits it lets all rows through.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(29)), F.lit(bits))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    name = ids.columns[0]
+    words = ids.select(F.shiftright(place(name), 6).alias("word"), bit(name).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set"))
+    near = rows.join(F.broadcast(words), F.shiftright(place(key), 6) == F.col("word"))
+    return near.where(F.col("set").bitwiseAND(bit(key)) != 0).select(*rows.columns)
+
+
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 85, bands: int = 24, rows: int = 5, bits: int = 512, loose: float = 0.65, heavy: int = 4096) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""
     text_batches(docs.sparkSession)
@@ -238,7 +251,8 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
                 value, _, first = shingle_sets(Words(data[a:b]), n)
                 yield pd.DataFrame({"id": f["id"].to_numpy()[a:b], "family": f["family"].to_numpy()[a:b], "shingles": [value[first[i] : first[i + 1]].tobytes() for i in range(b - a)]})
 
-    inside = base.join(families, F.col("id") == F.col("node")).select("id", F.col("component").alias("family"), "text")
+    # whole texts move only for members of families (and the few that share a bit of the bitmap)
+    inside = _perhaps_among(base, "id", families.select("node")).join(families, F.col("id") == F.col("node")).select("id", F.col("component").alias("family"), "text")
     full = cut(inside.mapInPandas(sets, "id long, family long, shingles binary").where("length(shingles) > 0"), "near-sets")
     volume = full.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("shingles")).alias("v"))
     blocks = F.greatest(F.least(F.ceil(F.col("m") / 96), F.lit(24)), F.ceil(F.col("m") / 4096), F.ceil(F.col("v") / F.lit(32 << 20))).cast("int")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.filters import Filter
 from tessera.functions.vectors import Metric
-from tessera.operators.compose import recall
 from tessera.operators.search import batch_top_k, top_k
 
 
@@ -35,21 +34,43 @@ class IvfIndex:
         rows = model.transform(ready).drop("features")
         return cls(rows, np.array(model.clusterCenters()), Metric.parse(metric), probes)
 
+    def ordered_cells(self, query: Sequence[float]) -> list[int]:
+        """All cells, nearest centre first."""
+        return [int(c) for c in np.argsort(((self.centres - np.asarray(query)) ** 2).sum(1), kind="stable")]
+
     def near_cells(self, query: Sequence[float]) -> list[int]:
-        return [int(c) for c in np.argsort(((self.centres - np.asarray(query)) ** 2).sum(1), kind="stable")[: self.probes]]
+        return self.ordered_cells(query)[: self.probes]
+
+    def write(self, path: str) -> IvfIndex:
+        """The same index over a table partitioned by cell, so that a search reads only the probed folders."""
+        spread = F.pmod(F.xxhash64("id"), F.lit(16))  # a cell with many rows is several tasks and files
+        self.rows.repartition("cell", spread).write.partitionBy("cell").parquet(path)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.rows.schema)
+        stored = IvfIndex(self.rows.sparkSession.read.schema(schema).parquet(path), self.centres, self.metric, self.probes)
+        stored.recall = self.recall
+        return stored
 
     def approximate(self, query: Sequence[float], k: int, where: Filter | Column | None = None) -> DataFrame:
         return top_k(self.rows.where(F.col("cell").isin(self.near_cells(query))), query, k, self.metric, where)
 
-    def measure(self, queries: DataFrame, k: int = 10) -> float:
-        """recall@k over a stated (small) query set, against brute force."""
-        truth = batch_top_k(self.rows.select("id", "vector"), queries, k, self.metric)
-        asked = queries.collect()
-        got = None
-        for q in asked:
-            one = self.approximate(q["vector"], k).select(F.lit(q["query_id"]).alias("query_id"), "id")
-            got = one if got is None else got.unionByName(one)
-        self.recall = 1.0 if got is None else float(recall(truth.select("query_id", "id"), got, k).first()["recall"])
+    def measure(self, queries: DataFrame, k: int = 10, gate: float | None = None) -> float:
+        """recall@k over a stated (small) query set, against brute force; with a gate, by the fewest probes that reach it.
+
+        Probed cells are scanned exactly, so a true neighbour is found if and only if its cell is probed: the places
+        of the true neighbours' cells in each query's order give the recall of every number of probes at once.
+        """
+        spark = queries.sparkSession
+        truth = batch_top_k(self.rows.select("id", "vector"), queries, k, self.metric).select("query_id", "id")
+        places = [(q["query_id"], c, i) for q in queries.select("query_id", "vector").collect() for i, c in enumerate(self.ordered_cells(q["vector"]))]
+        table = F.broadcast(spark.createDataFrame(places, "query_id long, cell int, place int"))  # queries times cells
+        held = truth.join(self.rows.select("id", "cell"), "id").join(table, ["query_id", "cell"]).groupBy("place").count().collect()
+        counts = np.zeros(len(self.centres))
+        for r in held:
+            counts[r["place"]] = r["count"]
+        recalls = np.cumsum(counts) / counts.sum() if counts.sum() else np.ones(len(counts))
+        if gate is not None:
+            self.probes = int(np.argmax(recalls >= gate)) + 1  # with all cells it is 1
+        self.recall = float(recalls[self.probes - 1])
         return self.recall
 
     def search(self, query: Sequence[float], k: int, where: Filter | Column | None = None, exact: bool = False, gate: float = 0.95) -> DataFrame:

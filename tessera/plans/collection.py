@@ -345,8 +345,8 @@ class Collection:
             return None
         name = f"seg-{uuid.uuid4().hex}"
         rows = self._live(working, head.tombstones) if purge else self._rows(working)
-        tasks = max(1, min(len(working), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-        rows.repartitionByRange(tasks, "id").sortWithinPartitions("id").write.parquet(f"{self.root}/segments/{name}")
+        # no fixed count: adaptive execution merges small ranges, and a large collection isn't squeezed into few tasks
+        rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.root}/segments/{name}")
         lo, hi, n = self._rows([Segment(name, 0, 0, 0)]).agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
         merged = Segment(name, lo if lo is not None else 0, hi if hi is not None else 0, n)
         head.segments, head.staged = [merged], []

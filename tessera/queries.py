@@ -517,10 +517,9 @@ def score_bars(spark, sf_dir):
 @register("SELECT 1.0::DOUBLE AS recall")
 def recall_at_k(spark, sf_dir):
     p = points(spark, sf_dir)
-    asked = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
-    a = search.batch_top_k(p, asked, 10, "dot")
-    v = p.select("id", F.col("vector").alias("w"))
-    scored = asked.join(F.broadcast(v)).select("query_id", "id", V.dot("vector", F.col("w")).alias("score"))  # a small stated query set
+    asked = p.where("id IN (0, 50, 100, 150, 200, 250, 300, 350, 400, 450)").select(F.col("id").alias("query_id"), F.col("vector").alias("w"))
+    a = search.batch_top_k(p, asked.withColumnRenamed("w", "vector"), 10, "dot")
+    scored = p.join(F.broadcast(asked)).select("query_id", "id", V.dot("vector", F.col("w")).alias("score"))  # ten stated queries
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*V.order("dot")))).where("r <= 10")
     return compose.recall(best.select("query_id", "id"), a, 10)
 
@@ -542,8 +541,8 @@ def pca_2d(spark, sf_dir):
 def ann_ivf(spark, sf_dir):
     p = points(spark, sf_dir)
     index = ann.IvfIndex.build(p, 16, "dot", probes=4)
-    index.measure(p.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"))
-    return index.search(vector_of(p, 0), 10).withColumn("recall", F.lit(index.recall))
+    index.measure(p.where("id % 100 = 0 AND id < 2000").select(F.col("id").alias("query_id"), "vector"), gate=0.95)
+    return index.write(f"{scratch(spark, 'ann_ivf')}/rows").search(vector_of(p, 0), 10).withColumn("recall", F.lit(index.recall))
 
 
 @register("SELECT vec_id AS id, label FROM embeddings WHERE vec_id >= 5")
@@ -573,3 +572,17 @@ def jsonl_source(spark, sf_dir):
     c = Collection.create(spark, f"{root}/c", "j", 64, "cosine")
     c.upsert(read_jsonl(spark, f"{root}/in"))
     return c.read().select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"))
+
+
+FRAMES = ("{}", "In short: {}", "They said: {}", "{} That is all.")
+
+
+@register("""WITH f(framing, a, z) AS (VALUES (0, '', ''), (1, 'In short: ', ''), (2, 'They said: ', ''), (3, '', ' That is all.')),
+r AS (SELECT framing, a || text || z AS text, source AS category, row_number() OVER (ORDER BY framing, source, text) AS i FROM documents, f WHERE text IS NOT NULL AND source IS NOT NULL)
+SELECT category, count(*) AS n, sum(length(text))::BIGINT AS chars FROM r WHERE i <= (SELECT 3 * count(*) FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) GROUP BY category""")
+def corpus_expansion(spark, sf_dir):
+    from tessera.sources.points import expand_corpus
+
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL AND source IS NOT NULL").select("text", F.col("source").alias("category"))
+    more = expand_corpus(corpus, FRAMES, 3 * corpus.count())
+    return more.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))

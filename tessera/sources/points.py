@@ -61,11 +61,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def expand_corpus(corpus: DataFrame, framings: Sequence[str], n: int) -> DataFrame:
     """n documents: every text in each framing ('{}' stands for the text), framing by framing."""
-    spark = corpus.sparkSession
-    framed = F.broadcast(spark.createDataFrame(list(enumerate(framings)), "framing int, frame string"))  # a given short list
-    rows = corpus.crossJoin(framed)
+    frames = F.array(*[F.lit(f) for f in framings])  # a given short list
+    rows = corpus.select("text", "category", F.posexplode(frames).alias("framing", "frame"))
     text = F.replace(F.col("frame"), F.lit("{}"), F.col("text"))
-    return rows.orderBy("framing", "category", corpus["text"]).limit(n).select(text.alias("text"), "category")
+    return rows.orderBy("framing", "category", "text").limit(n).select(text.alias("text"), "category")
 
 
 def embed(corpus: DataFrame, model: Callable[[Column], Column]) -> DataFrame:

@@ -375,6 +375,27 @@ def test_ann_gate(spark):
     assert [r.id for r in index.search(q, 10, exact=True).collect()] == want
 
 
+def test_ann_tuning(spark, tmp_path):
+    df = frame(spark, 400)
+    asked = df.where("id % 40 = 0").select(F.col("id").alias("query_id"), "vector")
+    index = ann.IvfIndex.build(df, 6, "dot", probes=1)
+    low = index.measure(asked)
+    queries = asked.collect()
+    truth = {x["query_id"]: {r.id for r in search.top_k(df, x["vector"], 10, "dot").collect()} for x in queries}
+    got = [len(truth[x["query_id"]] & {r.id for r in index.approximate(x["vector"], 10).collect()}) / 10 for x in queries]
+    assert low == pytest.approx(sum(got) / len(got))  # the same figure as by running the approximate searches
+    assert index.measure(asked, gate=0.9) >= 0.9
+    if index.probes > 1:
+        index.probes -= 1
+        assert index.measure(asked) < 0.9
+        index.probes += 1
+    assert index.measure(asked, gate=1.0) == 1.0
+    stored = index.write(f"file://{tmp_path}/ivf")
+    for x in queries[:3]:
+        assert {r.id for r in stored.search(x["vector"], 10).collect()} == truth[x["query_id"]]
+    assert stored.rows.count() == 400
+
+
 def test_figures(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 3, 2, 4, 4]], "v double")
     row = compose.latency_profile(df, "v", (0, 50, 100)).first()

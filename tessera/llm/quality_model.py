@@ -44,7 +44,10 @@ def features(text: str | None) -> list[float] | None:
     kinds = set(words)
     odd = sum(1 for w in words if w[-1:] in b"#$%&*")
     caps = sum(1 for w in words if w.isupper() and len(w) > 1)
-    top = max(map(words.count, sorted(kinds, key=lambda w: (len(w), w))[:3])) / m if m > 1 else 0.0
+    # the three shortest words, ties by their bytes; only words of at most the third length are put in order
+    most = sorted(map(len, kinds))[:3][-1]
+    short = sorted((w for w in kinds if len(w) <= most), key=lambda w: (len(w), w))[:3]
+    top = max(map(words.count, short)) / m if m > 1 else 0.0
     up, lo = share(_UPPER), share(_LOWER)
     return [np.log1p(m), up / (up + lo + 1e-9), share(_DIGIT), share(_SYMBOL) ** 0.5, share(b"|") ** 0.5, share(_BANG) ** 0.5, share(_STOP), n / m / 10, len(kinds) / m ** 0.8, 1 - len(set(lines)) / len(lines), np.log1p(n / len(lines)), words.count(b"|") / m, odd / m, caps / m, top]
 

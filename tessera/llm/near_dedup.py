@@ -276,6 +276,6 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns."""
-    return keep_rows(docs, near_groups(docs).where("kept").select("doc_id"))
+def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """One document of each group (settings as in near_groups), with all its columns."""
+    return keep_rows(docs, near_groups(docs, **settings).where("kept").select("doc_id"))

@@ -399,3 +399,19 @@ def test_pipeline_against_brute_force(spark):
     mixed = cut(stages[3](spark, apart, SF), "t")
     assert ids(mixed) == {i for i, (_, _, taken) in brute_mix(apart.collect(), corpus_pipeline.MIX_SHARE, 1, lambda k: 1).items() if taken}
     check(stages[4](spark, mixed, SF).collect(), mixed.collect(), Tokenizer.from_file(queries.tokenizer_path()), 4096)
+
+
+def test_pipeline_near_threshold(spark):
+    """The near stage collapses pairs from similarity 0.80 on, 0.80 itself included, and none below."""
+    from test_dedup import brute_near
+
+    import corpus_pipeline
+
+    rows = []
+    for k in range(40):
+        for size, places in ((49, (20,)), (150, (20, 60, 100)), (48, (20,)), (150, (20, 60, 100, 140))):  # J = 0.80, 0.81, 0.796, 0.76
+            words = [f"w{len(rows)}_{i}" for i in range(size)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join("new" if i in places else w for i, w in enumerate(words)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF).select("doc_id").collect()}
+    assert kept == {i for i, _, _, own in brute_near(docs.collect(), 80) if own} and len(kept) == 240

@@ -6,13 +6,15 @@ and the other spans that look alike (long digit groups, dotted numbers, spelled-
 - node: log share of each label among spans of that shape in the whole corpus, clipped to +-`clip`;
 - chain: log share of label pairs of neighbouring spans against chance, clipped likewise;
 - skip: `skip` for equal labels on edges between a span and the next one, however distant, that repeats it or is
-  similar (same last digits, same name before the at sign).
+  similar (same last digits, same name before the at sign), and between each such repetition and a base span of
+  every kind that has its likeness, wherever in the document that stands.
 
-Loopy sum-product passes with damping give marginals; a span whose marginal of one kind is above one half is added.
-Base spans are clamped, so labels spread from them to their repetitions through the whole document.
+Loopy sum-product passes with damping, until the messages settle, give marginals; a span whose marginal of one kind
+is above one half is added. Base spans are clamped, so they may have any number of edges: a span has at most one to
+its predecessor and one a kind to a base span, so edges grow in proportion to spans. The clamp outweighs the messages of any number of them.
 
-The text is read once; fitting sums small tables of shapes (at most a few hundred rows by construction) and
-inference runs over the slim span rows.
+The text is read once; fitting sums small tables of shapes of all documents (at most a few hundred rows by
+construction) and inference runs over the slim span rows.
 
 Edge cases: null and empty texts have no spans; a very long run of matching characters is scanned once; rows that
 repeat a doc_id are searched each; a null doc_id comes out null; an empty table gives an empty result; extra columns are ignored.
@@ -39,7 +41,7 @@ _QUAD = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"\(?[0-9](?:[ ().-]?[0-9]){6,18}(?![0-9])")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[(\[ ](?:at|AT)[)\] ] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[ ](?:dot|DOT)[)\] ]) ?[A-Za-z0-9-]+)+")
+_SPELLED = re.compile(r" ?[(\[ ](?:at|AT)[)\] ] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[ ](?:dot|DOT)[)\] ]) ?[A-Za-z0-9-]+)+")
 _LOCAL_BYTES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -67,6 +69,20 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Spelled-out addresses, searched from their at, so that a long run of name characters is scanned once."""
+    free = place = 0
+    while m := _SPELLED.search(text, place):
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL_BYTES:
+            start -= 1
+        if start < m.start():
+            yield start, m.end()
+            free = place = m.end()
+        else:
+            place = m.start() + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base matches, by kind as listed, then start; ends are exclusive code points."""
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
@@ -101,9 +117,8 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str]]:
     starts = np.array([a for a, _ in taken])
     ends = np.maximum.accumulate(np.array([b for _, b in taken])) if taken else np.zeros(0, int)
     out = [(k, a, b) for k, a, b in base]
-    more = [(m.start(), m.end()) for m in _DIGITS.finditer(text)] if base else []
-    if base and "at" in text.lower():
-        more += [(m.start(), m.end()) for m in _SPELLED.finditer(text)]
+    more = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
+    more += _spelled(text)
     last = -1
     for a, b in sorted(more):
         near = int(np.searchsorted(starts, b)) - 1
@@ -113,27 +128,34 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str]]:
     return [(k, a, b, *_describe(k, text[a:b])) for k, a, b in sorted(out, key=lambda x: (x[1], x[2], x[0]))]
 
 
-def propagate(node: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Marginals by loopy sum-product: node (n, L) log potentials; pairs (m, 2); tables (m, L, L) log potentials."""
+def propagate(node: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: int | None = None, damping: float = 0.3, settled: float = 1e-8) -> np.ndarray:
+    """Marginals by loopy sum-product: node (n, L) log potentials; pairs (m, 2); tables (m, L, L) log potentials.
+
+    Passes end when no message moves by more than `settled`; unless stated, they are enough to cross all nodes.
+    """
     n, size = node.shape
     m = len(pairs)
     to, fro = np.concatenate([pairs[:, 1], pairs[:, 0]]), np.concatenate([pairs[:, 0], pairs[:, 1]])
     both = np.concatenate([tables, tables.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     messages = np.zeros((2 * m, size))
-    for _ in range(rounds if m else 0):
+    for _ in range((2 * n + 100 if rounds is None else rounds) if m else 0):
         belief = node.copy()
         np.add.at(belief, to, messages)
         out = belief[fro] - messages[back]
         new = np.logaddexp.reduce(out[:, :, None] + both, axis=1)
         new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-        messages = damping * messages + (1 - damping) * new
+        new = damping * messages + (1 - damping) * new
+        moved = np.abs(new - messages).max()
+        messages = new
+        if moved <= settled:
+            break
     belief = node.copy()
     np.add.at(belief, to, messages)
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
-def _infer(spans: list, node_of: dict[str, np.ndarray], chain: np.ndarray, skip: float, clamp: float = 30.0) -> list[tuple[str, int, int]]:
+def _infer(spans: list, node_of: dict[str, np.ndarray], chain: np.ndarray, skip: float, clamp: float = 1e9) -> list[tuple[str, int, int]]:
     labels = [s["label"] for s in spans]
     if "none" not in labels:
         return []
@@ -144,14 +166,24 @@ def _infer(spans: list, node_of: dict[str, np.ndarray], chain: np.ndarray, skip:
             node[k] = -clamp
             node[k, LABELS.index(x)] = 0
     pairs, tables, seen = [], [], {}
+    sure: dict[str, dict[str, int]] = {}  # by likeness, the first base span of each kind
+    for k, (s, x) in enumerate(zip(spans, labels, strict=True)):
+        if x != "none":
+            sure.setdefault(s["key"], {}).setdefault(x, k)
     alike = np.eye(len(LABELS)) * skip
     for k, s in enumerate(spans):
         if k and s["start"] - spans[k - 1]["end"] <= 80:
             pairs.append((k - 1, k))
             tables.append(chain)
-        if s["key"] in seen:
-            pairs.append((seen[s["key"]], k))
-            tables.append(alike)
+        near = seen.get(s["key"])
+        linked = set() if near is None else {near}
+        if labels[k] == "none":
+            linked.update(sure.get(s["key"], {}).values())
+            if near is not None and labels[near] != "none":  # the base span of its kind that is already linked
+                linked.discard(sure[s["key"]][labels[near]])
+                linked.add(near)
+        pairs += [(j, k) for j in sorted(linked)]
+        tables += [alike] * len(linked)
         seen[s["key"]] = k
     if not pairs:
         return []

@@ -165,6 +165,36 @@ def test_pii_skip_chain(spark):
     assert rows[0].n_phone == 1 and rows[0].n_added == 1
 
 
+@pytest.mark.parametrize("times", [2, 5, 30])
+def test_pii_repetitions(spark, times):
+    """Every repetition of a base span is found, before or after it, though most spans of its shape in the corpus are no personal data."""
+    far = "and so on with words " * 10
+    phone, mail = "020 7946 0958", "jo.doe (at) site.org"
+    texts = [f"call +44 {phone}, {far}" + far.join([phone + " "] * times), far.join([mail + " "] * times) + f"{far}write to jo.doe@site.org."]
+    texts += [f"order 020 7946 {k:04d} or x{k} (at) site.org" for k in range(1000, 1040)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert [rows[0].n_added, rows[1].n_added] == [times, times] and sum(r.n_added for r in rows.values()) == 2 * times
+    for i, want in ((0, phone), (1, mail)):
+        added = [x.split(":") for x in rows[i].spans.split(",")]
+        assert sum(texts[i][int(a) : int(b)] == want for _, a, b in added) == times
+
+
+def test_propagation_crosses_long_chains():
+    """A clamped end reaches the other one, more than 12 links away, on stiff edges."""
+    node = np.zeros((40, 2))
+    node[0] = [-30, 0]
+    pairs = np.array([(k, k + 1) for k in range(39)])
+    assert pii.propagate(node, pairs, np.array([np.eye(2) * 6.0] * 39))[-1, 1] > 0.9
+
+
+def test_pii_spelled_linear():
+    pii.candidates("a" * 300_000 + " at " + "b" * 300_000)
+    text = "x at y at z dot w_v at s dot t, (at) q.r  jo  at h.i a (at) b [dot] c"
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+" + pii._SPELLED.pattern)
+    assert list(pii._spelled(text)) == [m.span() for m in pattern.finditer(text)]
+
+
 def test_propagation_is_exact_on_trees():
     rng = np.random.default_rng(0)
     node, tables = rng.normal(size=(4, 3)), rng.normal(size=(3, 3, 3))

@@ -207,7 +207,7 @@ def _discounts(n: list[int]) -> np.ndarray:
     return np.clip(d, [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", low: float = 8.0, high: float = 8.0, least_words: int = 50, share: float = 5e-7) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", low: float = 3.0, high: float = 6.0, least_words: int = 50, share: float = 5e-7) -> DataFrame:
     """One row per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity."""
     text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType

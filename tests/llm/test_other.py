@@ -378,6 +378,14 @@ def test_rules(spark, edge_docs, no_docs):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in out)
 
 
+def test_rules_bands_decide(spark):
+    """The bands reject labelled bad documents that pass the base rules, and hardly any good one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = quality_rules.judge(docs).where("NOT base_failed").join(labels, "doc_id").collect()
+    lost = {q: sum(r.quality == q and not r.kept for r in known) for q in (0, 1)}
+    assert lost[0] >= 2 and lost[1] <= 0.01 * sum(r.quality == 1 for r in known), lost
+
+
 # --- registered queries and the pipeline
 
 

@@ -55,16 +55,18 @@ class WordTokenizer:
 
     The file never joins characters across white space or pre-tokens, so a text's ids are those of its pre-tokens
     in order. In plain text these are runs of one class of bytes (a word with an apostrophe is kept whole and split
-    by pattern); each distinct one (by 64-bit hash) goes to the BPE model once. Other texts go through the whole
-    tokenizer. The memo is emptied when it holds over `memo` entries: memory is bounded, results are the same.
+    by pattern); each distinct one goes to the BPE model once, known by its bytes (hashes only group, and are checked).
+    Other texts, and those that hold one of the file's added tokens, go through the whole tokenizer.
+    The memo is emptied when it holds over `memo` entries: memory is bounded, results are the same.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         self.inner, self.limit, self.memo = Tokenizer.from_file(path), memo, {}
-        self.inner.encode_special_tokens = True
         self.model, self.alphabet = self.inner.model, _byte_alphabet()
+        added = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -80,14 +82,14 @@ class WordTokenizer:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         parts = Words([t.lower().encode() for t in texts], pre_tokens)
-        kinds, first, place = np.unique(parts.hash, return_index=True, return_inverse=True)
+        first, place = parts.kinds()
         if len(self.memo) > self.limit:
             self.memo.clear()
-        memo, data = self.memo, parts.data
-        found = list(map(memo.get, keys := kinds.tolist()))
+        memo = self.memo
+        keys = [parts.bytes_of(k) for k in first.tolist()]
+        found = list(map(memo.get, keys))
         for k in [k for k, x in enumerate(found) if x is None]:
-            at = first[k]
-            memo[keys[k]] = found[k] = self._run(data[parts.start[at] : parts.end[at]].tobytes().decode())
+            memo[keys[k]] = found[k] = self._run(keys[k].decode())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts = np.cumsum(sizes) - sizes
         flat = np.frombuffer(b"".join(found), "<u4")
@@ -101,7 +103,7 @@ class WordTokenizer:
         out: list[bytes] = [b""] * len(texts)
         plain = []
         for k, t in enumerate(texts):
-            if PLAIN_TEXT.fullmatch(t):
+            if PLAIN_TEXT.fullmatch(t) and not (self.added and self.added.search(t)):
                 plain.append(k)
             else:
                 out[k] = np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes()

@@ -1,21 +1,24 @@
-"""Vectorised hashing of words and n-grams of many texts at once (NumPy)."""
+"""Vectorised hashing of words and n-grams of many texts at once (NumPy).
+
+Words are hashed from their bytes without algebraic structure: runs of up to 32 bytes in 8-byte chunks, each followed
+by a full mixing round, longer ones by XXH3. Words of at most 8 bytes can only collide across lengths.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 2**64)
-_GRAM = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S33 = np.uint64(33)
-_powers: dict[int, np.ndarray] = {}
+_S33, _S32 = np.uint64(33), np.uint64(32)
+_ODD, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Keeps the first k bytes of a little-endian chunk.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+SHORT = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,13 +31,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
-        out[0] = 1
-        _powers[base] = have = np.multiply.accumulate(out)
-    return have[:n]
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The 8-byte little-endian number that starts at each byte (zeros follow the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes data[start:end]."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * _LENGTH)
+    chunks = _chunks(data)
+    rows = np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        rows = rows[size[rows] > at]
+        if not len(rows):
+            break
+        part = chunks[start[rows] + at] & _KEEP[np.minimum(size[rows] - at, 8)]
+        out[rows] = mix((out[rows] ^ part) * _ODD)
+    for k in np.flatnonzero(size > SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+    return out
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each run has the same bytes as the run that `other` names for it."""
+    size = end - start
+    if (size != size[other]).any():
+        return False
+    chunks = _chunks(data)
+    rows = np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        rows = rows[size[rows] > at]
+        if not len(rows):
+            break
+        differ = (chunks[start[rows] + at] ^ chunks[start[other[rows]] + at]) & _KEEP[np.minimum(size[rows] - at, 8)]
+        if differ.any():
+            return False
+    cut = lambda k: data[start[k] : end[k]].tobytes()
+    return all(k == o or cut(k) == cut(o) for k, o in ((k, other[k]) for k in np.flatnonzero(size > SHORT).tolist()))
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +90,23 @@ class Words:
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.offsets = offsets = np.concatenate([[0], np.cumsum(sizes)])
         self.start, self.end = (spans or _words)(data)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-        value = (sums[self.end] - sums[self.start]) * _power(_INV, len(data))[self.start]
-        self.hash = mix(value + (self.end - self.start).astype(np.uint64))
+        self.hash = span_hash(data, self.start, self.end)
         self.first = np.searchsorted(self.start, offsets)
         self.first[-1] = len(self.start)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
+    def bytes_of(self, k: int) -> bytes:
+        return self.data[self.start[k] : self.end[k]].tobytes()
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of each kind and each word's kind; equal hashes are checked byte for byte."""
+        _, first, place = np.unique(self.hash, return_index=True, return_inverse=True)
+        if same_spans(self.data, self.start, self.end, first[place]):
+            return first, place
+        seen: dict[bytes, int] = {}
+        place = np.fromiter((seen.setdefault(self.bytes_of(k), len(seen)) for k in range(len(self.hash))), np.int64, len(self.hash))
+        return np.unique(place, return_index=True)[1], place
+
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text index of every n-word window; windows don't cross texts."""
@@ -71,7 +115,8 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     value = np.zeros(m, np.uint64)
     for k in range(n):
-        value += words.hash[k : k + m] * _GRAM[k]
+        value = (value ^ words.hash[k : k + m]) * _ODD
+        value ^= value >> _S32
     inside = words.doc[:m] == words.doc[n - 1 :]
     return mix(value)[inside], words.doc[:m][inside]
 
@@ -97,7 +142,4 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _whole(hashes: np.ndarray) -> np.uint64:
-    total = np.array([len(hashes)], np.uint64)
-    for k, part in enumerate(hashes * _GRAM[: len(hashes)]):
-        total = mix(total * np.uint64(3) + part + np.uint64(k))
-    return total[0]
+    return np.uint64(xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes(), seed=len(hashes)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.ship import ship_package
@@ -15,35 +15,61 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a machine's own folder would not do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        spark.conf.set("spark.checkpoint.dir", found := "file:///tmp/checkpoints/tessera")
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: short lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Send whole texts to Python in small Arrow batches, so that a worker holds a few MB of them at a time."""
+def text_batches(spark: SparkSession) -> None:
+    """Make this package known to the Python workers."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose key is in ids (one column); names in docs can't clash, null keys match null."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("__tessera_key")).distinct()
-    return docs.join(wanted, docs[key].eqNullSafe(wanted["__tessera_key"]), "left_semi")
+def row_digest(text: str | Column) -> Column:
+    """16 bytes that stand for a text; null and empty differ."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), c), F.lit("null"))))
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, once: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay.
+
+    verdicts: one row for each row of docs, columns key, digest (row_digest of the text), stays. Rows are known by key
+    and text, so a repeated or null key can't carry another row along. Of rows that are equal in both, as many
+    stay as have the verdict (once: one at most).
+    """
+    same = verdicts.groupBy(F.col(key).alias("__tessera_key"), F.col("digest").alias("__tessera_digest"))
+    stay = F.sum(F.col("stays").cast("long"))
+    counts = same.agg((F.least(stay, F.lit(1)) if once else stay).alias("stay"), F.count(F.lit(1)).alias("all")).where("stay > 0")
+    counts = cut(counts, "verdicts")
+    named = docs.withColumn("__tessera_mark", row_digest(F.col(text)))
+    match = lambda wanted: named[key].eqNullSafe(wanted["__tessera_key"]) & (named["__tessera_mark"] == wanted["__tessera_digest"])
+    whole = counts.where("stay = all")
+    out = named.join(whole, match(whole), "left_semi")
+    some = counts.where("stay < all")
+    if not some.isEmpty():  # only equal rows of which some go
+        order = Window.partitionBy("__tessera_key", "__tessera_digest").orderBy(F.lit(0))
+        chosen = named.join(some, match(some)).withColumn("__tessera_place", F.row_number().over(order)).where("__tessera_place <= stay")
+        out = out.unionByName(chosen.select(*named.columns))
+    return out.drop("__tessera_mark")
 
 
 def utf8_size(text: str | Column) -> Column:

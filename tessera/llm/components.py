@@ -20,19 +20,20 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rewiring, both grouped minima with map-side combining, until the edges are
     a forest of stars; edges always point to the smaller id, so a star's root is its least node. Each round at
-    least halves the depth of long chains. A node of any degree is one aggregate row; the minimum goes back to its
-    edges by a join that adaptive execution may split.
+    least halves the depth of long chains. A node of any degree is one aggregate row. Minima are tables of their own:
+    the joins that bring them back to the edges have exchanges of their own on both sides, so that adaptive
+    execution splits the edges of a node with very many.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     for _ in range(most_rounds):
         if _settled(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "cc-least")
         # large star: neighbours above a node hang on its least neighbour (or on itself)
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")), "cc-large")
         # small star: neighbours below a node, and the node, hang on the least of them
-        below = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        below = cut(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "cc-below")
         small = large.join(below, F.col("u") == F.col("k"))
         now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
     else:

@@ -1,30 +1,33 @@
 """MinHash near-duplicate groups with odd sketches.
 
-1. Lower-cased (A-Z) word sequences are collapsed first: documents with the same sequence have the same shingle
-   set, so one of them, the smallest id, stands for all.
-2. Each representative gets `bands * rows` MinHash values of its 5-word shingles. They give `bands` bucket keys and,
-   folded into a parity bitmap of `bits` bits, its odd sketch.
-3. In each bucket the sketches are compared in blocks: from the population count of the XOR of two sketches,
-   J ~ 1 + bits / (4 k) * ln(1 - 2 c / bits) for k samples. Pairs estimated at `loose` or more join; only a
-   spanning forest of each bucket is passed on, never its pairs. Connected components of these forests are
-   families: every link lies inside one family.
-4. Inside a family, full shingle sets are compared exactly, block against block (a large family is many tasks), and
-   again only spanning forests of the exact links are passed on. Their components are the result.
+1. Texts are read once: each row gets a 128-bit key of its lower-cased (A-Z) word sequence, `bands * rows` MinHash
+   values of its 5-word shingles, folded into `bands` bucket keys, and a parity bitmap of `bits` bits, its odd sketch.
+   Rows with the same sequence have the same shingle set; one row stands for all.
+2. In each bucket the least node leads: members whose sketches agree with its sketch hang on it, the others go to a
+   next round with a new leader; what is left after `rounds` rounds is compared in pairs of blocks. From the population
+   count of the XOR of two sketches, J ~ 1 + bits / (4 k) * ln(1 - 2 c / bits) for k samples; `loose` or more agrees.
+   Only these stars are passed on, never a bucket's pairs. Their components are families: every link lies inside one.
+3. Inside a family, members are compared on full sets with the leaders they hang on. Members that this leaves outside
+   the family's largest part are then compared with all its members, block by block. Components of the exact links are the result.
 
 With 24 bands of 5 rows a pair at the similarity 0.85 shares no bucket with probability 8e-7, and the loose sketch
-bound 0.65 lies more than 4 standard deviations below it. All links inside a family are confirmed on full sets.
+bound 0.65 lies more than 4 standard deviations below it. All links inside a family are confirmed on full sets
+of 64-bit shingle hashes.
 
-Hot groups: exact copies are collapsed by an aggregate with map-side sums; buckets of more than `heavy` members
-are dealt as pairs of blocks; families are dealt as pairs of blocks whose number grows with the family.
+Hot groups: copies of one sequence are one aggregate row; a bucket or family of near copies of any size is one star,
+found by joins that adaptive execution splits; no row is copied more often than once for each 1024 members of
+a family that its leaders don't explain. The bitmap that spares other texts the shuffle has a fixed size of 2^24 bits: it
+saves little once families have some 10 million distinct texts, the result stays the same.
 
 Edge cases: null or wordless text has no shingles, is linked with nothing and is kept; fewer than five words make
-one shingle; a null doc_id comes out as a component of its own with null component; rows that repeat a doc_id with
-the same text come out alike, with different texts they are joined through the id; an empty table gives an
+one shingle; a null doc_id groups like any other row, a component without any doc_id has the name null;
+rows that repeat a doc_id are rows of their own; `stays` marks exactly one row of each component; an empty table gives an
 empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, keep_rows, slices, text_batches
+from tessera.llm.common import cut, keep_rows, row_digest, slices, text_batches
 from tessera.llm.components import connected_components
 from tessera.llm.wordhash import Words, mix, shingle_sets
 
@@ -44,18 +47,6 @@ def _encode(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
 
 
-def sequence_keys(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit key of each word sequence as 16 bytes, and the number of distinct shingles."""
-    import hashlib
-
-    data = _encode(texts)
-    keys = [hashlib.blake2b(b" ".join(d.split()), digest_size=16).digest() for d in data]
-    sizes = np.zeros(len(texts), np.int64)
-    for a, b in slices([len(d) for d in data], 1 << 19):
-        sizes[a:b] = np.diff(shingle_sets(Words(data[a:b]), n)[2])
-    return np.array(keys, object), sizes
-
-
 def signatures(value: np.ndarray, first: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
     """MinHash values, one row of `count` for each text with shingles (texts without get the largest value)."""
     factors = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,29 +113,29 @@ def _bucket_edges(ids: np.ndarray, sketch: np.ndarray, most: int, sides: np.ndar
     return [(int(ids[a]), int(ids[b])) for a, b in edges]
 
 
-def _exact_edges(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs with 100 * intersection >= percent * union, by counts over a shared vocabulary."""
+def _cross_links(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, own: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join parts: each left member against the block's own members, by counts over a shared vocabulary."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    kinds, word = np.unique(flat, return_inverse=True)
+    kinds, word = np.unique(np.concatenate(sets), return_inverse=True)
     doc = np.repeat(np.arange(n), sizes)
     order = np.argsort(word, kind="stable")
     by_word, starts = doc[order], np.searchsorted(word[order], np.arange(len(kinds) + 1))
-    labels = np.arange(n)
+    labels = part.copy()
     edges: list[tuple[int, int]] = []
     firsts = np.concatenate([[0], np.cumsum(sizes)])
-    for i in range(n):
+    for i in np.flatnonzero(left).tolist():
         if (labels == labels[i]).all():
-            break
+            continue
         mine = word[firsts[i] : firsts[i + 1]]
         lens = starts[mine + 1] - starts[mine]
-        total = int(lens.sum())
-        at = np.repeat(starts[mine] - (np.cumsum(lens) - lens), lens) + np.arange(total)
+        at = np.repeat(starts[mine] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
         common = np.bincount(by_word[at], minlength=n)
-        linked = np.flatnonzero(100 * common >= percent * (sizes + sizes[i] - common))
-        linked = linked[labels[linked] != labels[i]]
-        edges += _forest(labels, np.full(len(linked), i), linked)
+        linked = np.flatnonzero((100 * common >= percent * (sizes + sizes[i] - common)) & own & (labels != labels[i]))
+        for j in linked.tolist():
+            if labels[j] != labels[i]:
+                labels[labels == labels[j]] = labels[i]
+                edges.append((i, j))
     return edges
 
 
@@ -161,121 +152,138 @@ def _perhaps_among(rows: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 2
     return near.where(F.col("set").bitwiseAND(bit(key)) != 0).select(*rows.columns)
 
 
-def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 85, bands: int = 24, rows: int = 5, bits: int = 512, loose: float = 0.65, heavy: int = 4096) -> DataFrame:
-    """One row per document: key, n_shingles, component_id, kept."""
-    text_batches(docs.sparkSession)
-    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    k = bands * rows
+def _agree(pairs: DataFrame, signs: DataFrame, most: int) -> DataFrame:
+    """Adds near: whether the sketches of node and lead differ in at most `most` bits (JVM bit counts)."""
+    own = signs.select(F.col("node").alias("node2"), F.col("sketch").alias("s1"))
+    lead = signs.select(F.col("node").alias("lead2"), F.col("sketch").alias("s2"))
+    both = pairs.join(own, F.col("node") == F.col("node2")).join(lead, F.col("lead") == F.col("lead2"))
+    odd = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.select("node", "lead", (odd <= most).alias("near"))
 
-    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keys, sizes = sequence_keys(f["text"].tolist(), n)
-            yield pd.DataFrame({"id": f["id"], "seq": keys, "n_shingles": sizes})
 
-    # ids travel as text here, so that nulls don't make them floats
-    made = base.withColumn("id", F.col("id").cast("string")).mapInPandas(keyed, "id string, seq binary, n_shingles long")
-    members = cut(made.withColumn("id", F.col("id").cast("long")), "near-members")
-    heads = members.where("n_shingles > 0 AND id IS NOT NULL").groupBy("seq").agg(F.min("id").alias("rep"))
-    heads = cut(heads, "near-heads")  # so that the join below has its own exchanges, which may be split at a hot sequence
+def _bucket_forest(placed: DataFrame, signs: DataFrame, most: int, rounds: int, heavy: int) -> DataFrame:
+    """(a, b): edges that join the members of each bucket whose sketches agree.
+
+    placed: bucket, node. Each round the least node of a bucket leads: members that agree with it hang on it, the
+    others go on to the next round. What is left after the last round is compared in pairs of blocks.
+    """
+    edges, rest = None, placed
+    for k in range(rounds):
+        # one row a bucket, by sums on the map side; a table of its own, so that a hot bucket's join can be split
+        leads = cut(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lead")).where("m > 1").select(F.col("bucket").alias("bucket2"), "lead"), f"near-leads-{k}")
+        met = cut(rest.join(leads, F.col("bucket") == F.col("bucket2")).where("node <> lead").select("bucket", "node", "lead"), f"near-met-{k}")
+        if k and met.isEmpty():
+            return edges
+        # bands repeat the same pairs, which are compared once
+        judged = cut(_agree(met.select("node", "lead").distinct(), signs, most), f"near-judged-{k}")
+        found = judged.where("near").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
+        apart = judged.where("NOT near").select(F.col("node").alias("n2"), F.col("lead").alias("l2"))
+        rest = met.join(apart, (F.col("node") == F.col("n2")) & (F.col("lead") == F.col("l2")), "left_semi").select("bucket", "node")
+    rest = cut(rest, "near-rest")
+    crowds = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    crowds = crowds.select(F.col("bucket").alias("bucket2"), F.ceil(F.col("m") / F.lit(heavy)).cast("int").alias("blocks"))
+    dealt = rest.join(crowds, F.col("bucket") == F.col("bucket2"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("node").alias("n2"), F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"))
+    dealt = dealt.join(signs.select("node", "sketch"), F.col("node") == F.col("n2")).select("node", "sketch", "place")
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        sketch = np.array(f["sketch"].tolist(), np.int64).view(np.uint16).reshape(len(f), -1)
+        found = _bucket_edges(f["node"].to_numpy(), sketch, most)
+        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
+
+    return edges.unionByName(dealt.groupBy("place").applyInPandas(one, "a long, b long"))
+
 
-    # signatures of representatives only; the sequence key makes sure that a repeated doc_id signs the right text
-    reps = heads.select(F.col("rep"), F.col("seq").alias("rep_seq"))
+def _exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    x = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
+    y = sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"))
+    both = pairs.join(x, F.col("a") == F.col("x")).join(y, F.col("b") == F.col("y"))
+    common = F.size(F.array_intersect("sx", "sy"))
+    return both.where(100 * common >= percent * (F.size("sx") + F.size("sy") - common)).select("a", "b")
+
+
+def near_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 85, bands: int = 24, rows: int = 5, bits: int = 512, loose: float = 0.65, rounds: int = 3, heavy: int = 1024) -> DataFrame:
+    """One row per row of docs: key, digest, n_shingles, component_id, kept, stays."""
+    text_batches(docs.sparkSession)
+    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), row_digest(F.col(text)).alias("digest"))
+    k = bands * rows
 
     def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             data = _encode(f["text"].tolist())
             for a, b in slices([len(d) for d in data], 1 << 19):
-                value, _, first = shingle_sets(Words(data[a:b]), n)
+                words = Words(data[a:b])
+                value, _, first = shingle_sets(words, n)
                 sig = signatures(value, first, k)
-                held = np.diff(first) > 0
                 keys = mix(np.stack([sum((sig[:, x * rows + r] * np.uint64(2 * r + 3) for r in range(rows)), np.uint64(x)) for x in range(bands)], 1).astype(np.uint64)).view(np.int64)
-                sketch = odd_sketch(sig, bits)
-                at = np.flatnonzero(held)
-                if not len(at):
-                    continue
-                yield pd.DataFrame({"id": f["id"].to_numpy()[a:b][at], "keys": [keys[i] for i in at], "sketch": [sketch[i].tobytes() for i in at]})
-
-    signs = cut(base.where("id IS NOT NULL").mapInPandas(signed, "id long, keys array<long>, sketch binary"), "near-signatures")
-    signs = signs.join(reps.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
-    # bucket keys differ by band; sketches follow only into buckets that have company
-    placed = signs.select("id", F.explode("keys").alias("bucket"))
-    crowds = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    crowds = crowds.select(F.col("bucket").alias("bucket2"), F.ceil(F.col("m") / F.lit(heavy)).cast("int").alias("blocks"))
-    met = placed.join(crowds, F.col("bucket") == F.col("bucket2"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.col("id").alias("member"), F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"))
-    met = met.join(signs.select("id", "sketch"), F.col("id") == F.col("member")).select("id", "sketch", "place")
-    most = most_odd(loose, k, bits)
-
-    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Batches sorted by place; a place may go on in the next batch."""
-        held: list[pd.DataFrame] = []
-
-        def found(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            place = f["place"].to_numpy()
-            ids = f["id"].to_numpy()
-            sketch = np.frombuffer(b"".join(f["sketch"]), np.uint16).reshape(len(f), -1)
-            heads_ = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            ends = np.append(heads_[1:], len(f))
-            twos = heads_[ends - heads_ == 2]
-            near = _COUNT[sketch[twos] ^ sketch[twos + 1]].astype(np.int32).sum(1) <= most if len(twos) else np.zeros(0, bool)
-            pairs = [np.stack([ids[twos[near]], ids[twos[near] + 1]], 1)]
-            for a, b in zip(heads_.tolist(), ends.tolist(), strict=True):
-                if b - a > 2 and (e := _bucket_edges(ids[a:b], sketch[a:b], most)):
-                    pairs.append(np.array(e))
-            both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-            yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+                sketch = odd_sketch(sig, bits).view(np.int64)
+                yield pd.DataFrame({"id": f["id"].iloc[a:b], "digest": f["digest"].iloc[a:b], "seq": [hashlib.blake2b(b" ".join(d.split()), digest_size=16).digest() for d in data[a:b]], "n_shingles": np.diff(first), "keys": list(keys), "sketch": list(sketch)})
 
-        for f in frames:
-            if f.empty:
-                continue
-            held.append(f)
-            last = f["place"].iloc[-1]
-            if f["place"].iloc[0] == last:
-                continue
-            all_ = pd.concat(held, ignore_index=True)
-            open_ = (all_["place"] == last).to_numpy()
-            held = [all_[open_]]
-            yield from found(all_[~open_])
-        if held:
-            yield from found(pd.concat(held, ignore_index=True))
-
-    forest = met.repartition("place").sortWithinPartitions("place").mapInPandas(runs, "a long, b long")
-    families = connected_components(forest)  # node, component
-
-    # full sets of family members, dealt as pairs of blocks
+    # texts are read once; ids travel as text here, so that nulls don't make them floats
+    made = base.withColumn("id", F.col("id").cast("string")).mapInPandas(signed, "id string, digest binary, seq binary, n_shingles long, keys array<long>, sketch array<long>")
+    members = cut(made.select(F.monotonically_increasing_id().alias("node"), F.col("id").cast("long").alias("id"), "digest", "seq", "n_shingles", "keys", "sketch"), "near-members")
+    heads = members.where("n_shingles > 0").groupBy(F.col("seq").alias("same")).agg(F.min("node").alias("rep"))
+    heads = cut(heads, "near-heads")  # so that the join below has its own exchanges, which may be split at a hot sequence
+
+    signs = members.join(heads, F.col("node") == F.col("rep"), "left_semi")
+    placed = signs.select("node", F.explode("keys").alias("bucket"))  # bucket keys differ by band
+    forest = cut(_bucket_forest(placed, members.select("node", "sketch"), most_odd(loose, k, bits), rounds, heavy), "near-forest")
+    families = cut(connected_components(forest), "near-families")  # node, component
+
+    # full sets of family members; whole texts move only for them (and the few that share a bit of the bitmap)
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             data = _encode(f["text"].tolist())
             for a, b in slices([len(d) for d in data], 1 << 19):
                 value, _, first = shingle_sets(Words(data[a:b]), n)
-                yield pd.DataFrame({"id": f["id"].to_numpy()[a:b], "family": f["family"].to_numpy()[a:b], "shingles": [value[first[i] : first[i + 1]].tobytes() for i in range(b - a)]})
-
-    # whole texts move only for members of families (and the few that share a bit of the bitmap)
-    inside = _perhaps_among(base, "id", families.select("node")).join(families, F.col("id") == F.col("node")).select("id", F.col("component").alias("family"), "text")
-    full = cut(inside.mapInPandas(sets, "id long, family long, shingles binary").where("length(shingles) > 0"), "near-sets")
-    volume = full.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("shingles")).alias("v"))
-    blocks = F.greatest(F.least(F.ceil(F.col("m") / 96), F.lit(24)), F.ceil(F.col("m") / 4096), F.ceil(F.col("v") / F.lit(32 << 20))).cast("int")
-    volume = volume.select(F.col("family").alias("family2"), blocks.alias("blocks"))
-    dealt = full.join(volume, F.col("family") == F.col("family2"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "shingles", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+                yield pd.DataFrame({"node": f["node"].to_numpy()[a:b], "family": f["family"].to_numpy()[a:b], "shingles": [value[first[i] : first[i + 1]].view(np.int64) for i in range(b - a)]})
+
+    wanted = cut(members.select("node", F.col("id").alias("id2"), F.col("digest").alias("digest2")).join(families.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2")).select("node", "id2", "digest2", F.col("component").alias("family")), "near-wanted")
+    inside = _perhaps_among(base, "digest", wanted.select("digest2")).join(wanted, F.col("id").eqNullSafe(F.col("id2")) & (F.col("digest") == F.col("digest2"))).select("node", "family", "text")
+    full = inside.mapInPandas(sets, "node long, family long, shingles array<long>").dropDuplicates(["node"])
+    full = cut(full, "near-sets")
+    # leaders first: what hangs on one node in the candidate forest is compared with it
+    links = cut(_exact_links(forest.distinct(), full, percent), "near-links")
+    parts = connected_components(links)
+    held = full.select("node", "family").join(parts.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("node", "family", F.coalesce("component", "node").alias("part"))
+    held = cut(held, "near-parts")
+    # then members outside the largest part of their family, with all the others of it
+    sizes = held.groupBy("family", "part").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy(F.col("family").alias("family2")).agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = cut(main.select("family2", F.col("top.part").alias("main"), F.ceil(F.col("members") / F.lit(heavy)).cast("int").alias("blocks")), "near-main")
+    rest = held.join(main, F.col("family") == F.col("family2")).withColumn("left", F.col("part") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = rest.withColumn("block", F.explode(F.when(F.col("left"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    dealt = dealt.select(F.col("node").alias("n2"), "family", "part", "left", "own", "block").join(full.select("node", "shingles"), F.col("node") == F.col("n2")).select("node", "family", "part", "left", "own", "block", "shingles")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        ids = f["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        edges = _exact_edges([np.frombuffer(f["shingles"].iloc[k], np.uint64) for k in order], percent)
-        return pd.DataFrame({"a": [ids[order[a]] for a, _ in edges], "b": [ids[order[b]] for _, b in edges]}, dtype="int64")
+        """Links of left members with what the block has as its own; parts that are joined already aren't compared."""
+        f = f.sort_values("node")
+        found = _cross_links([np.asarray(x, np.int64) for x in f["shingles"]], f["part"].to_numpy(), f["left"].to_numpy(), (f["own"] == f["block"]).to_numpy(), percent)
+        nodes = f["node"].to_numpy()
+        return pd.DataFrame({"a": [nodes[a] for a, _ in found], "b": [nodes[b] for _, b in found]}, dtype="int64")
+
+    more = dealt.groupBy("family", "block").applyInPandas(compare, "a long, b long")
+    groups = connected_components(links.unionByName(more))  # representatives of sequences
+
+    # every row hangs on the representative of its sequence; a component's name is its least doc_id
+    named = members.select("node", "id", "digest", "seq", "n_shingles").join(heads, F.col("seq") == F.col("same"), "left")
+    named = named.join(groups.withColumnRenamed("node", "g"), F.col("rep") == F.col("g"), "left")
+    named = cut(named.select("node", "id", "digest", "n_shingles", F.coalesce("component", "rep", "node").alias("part")), "near-named")
+    tops = named.groupBy(F.col("part").alias("part2")).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("top")).where("m > 1")
+    tops = cut(tops.select("part2", F.col("top.id").alias("least"), F.col("top.node").alias("first")), "near-tops")
+    out = named.join(tops, F.col("part") == F.col("part2"), "left")
+    component = F.when(F.col("part2").isNull(), F.col("id")).otherwise(F.col("least"))
+    return out.select(F.col("id").alias(key), "digest", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce(F.col("node") == F.col("first"), F.lit(True)).alias("stays"))
+
 
-    links = dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
-    # the rows of one sequence hang on its representative; a doc_id with several texts joins their groups
-    repeated = members.where("n_shingles > 0 AND id IS NOT NULL").join(heads, "seq").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    groups = connected_components(links.union(repeated))
-    out = members.join(groups, F.col("id") == F.col("node"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+def near_groups(docs: DataFrame, **settings) -> DataFrame:
+    """One row per document: key, n_shingles, component_id, kept (settings as in near_rows)."""
+    return near_rows(docs, **settings).drop("digest", "stays")
 
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each group (settings as in near_groups), with all its columns."""
-    return keep_rows(docs, near_groups(docs, **settings).where("kept").select("doc_id"))
+    """One row of each group (settings as in near_rows), with all its columns."""
+    return keep_rows(docs, near_rows(docs, **settings), once=True)

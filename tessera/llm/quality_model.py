@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, keep_rows, text_batches
+from tessera.llm.common import cut, keep_rows, row_digest, text_batches
 
 #: Bytes counted by the features.
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -85,20 +85,20 @@ def _strength(sites: DataFrame, total: str) -> DataFrame:
     return sums.select(mu.alias("mu"), kappa.alias(total))
 
 
-def score(docs: DataFrame, labels: DataFrame, target: str = "quality", host: Column | None = None, path: Column | None = None, key: str = "doc_id", sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """One row per document: key, evidence (own probability), host_posterior, path_posterior, probability, kept."""
+def score_rows(docs: DataFrame, labels: DataFrame, target: str = "quality", host: Column | None = None, path: Column | None = None, key: str = "doc_id", sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """One row per document: key, digest, evidence (own probability), host_posterior, path_posterior, probability, kept."""
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     blank = "?"
     text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
-    base = docs.select(F.col(key).cast("string").alias("id"), F.coalesce(host.cast("string"), F.lit(blank)).alias("host"), F.coalesce(path.cast("string"), F.lit(blank)).alias("path"), F.col("text").alias("text"))
+    base = docs.select(F.col(key).cast("string").alias("id"), row_digest("text").alias("digest"), F.coalesce(host.cast("string"), F.lit(blank)).alias("host"), F.coalesce(path.cast("string"), F.lit(blank)).alias("path"), F.col("text").alias("text"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "host": f["host"], "path": f["path"], "x": [features(t) for t in f["text"]]})
+            yield pd.DataFrame({"id": f["id"], "digest": f["digest"], "host": f["host"], "path": f["path"], "x": [features(t) for t in f["text"]]})
 
-    made = base.mapInPandas(batches, "id string, host string, path string, x array<double>")
+    made = base.mapInPandas(batches, "id string, digest binary, host string, path string, x array<double>")
     rows = cut(made.withColumn("id", F.col("id").cast(kind)), "quality-features")
     known = labels.where(F.col(target).isNotNull()).groupBy(F.col(key).alias("known")).agg(F.avg(F.col(target).cast("double")).alias("y"))
     # thin the labelled rows by hash to about the sample first, so that tasks don't each send `sample` rows
@@ -132,9 +132,14 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", host: Col
     out = out.withColumn("path_posterior", F.coalesce(path_post, mu))
     shifted = _logit(F.col("p")) + _logit(F.col("path_posterior")) - _logit(mu)
     final = F.when(voting, F.lit(1.0) / (F.lit(1.0) + F.exp(-shifted))).otherwise(F.lit(0.0))
-    return out.select(F.col("id").alias(key), F.col("p").alias("evidence"), "host_posterior", "path_posterior", final.alias("probability"), (final >= threshold).alias("kept"))
+    return out.select(F.col("id").alias(key), "digest", F.col("p").alias("evidence"), "host_posterior", "path_posterior", final.alias("probability"), (final >= threshold).alias("kept"))
+
+
+def score(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """One row per document: key, evidence, host_posterior, path_posterior, probability, kept (settings as in score_rows)."""
+    return score_rows(docs, labels, **settings).drop("digest")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
-    return keep_rows(docs, score(docs, labels).where("kept").select("doc_id"))
+    """The rows that the classifier keeps, with all their columns."""
+    return keep_rows(docs, score_rows(docs, labels).withColumnRenamed("kept", "stays"))

@@ -54,7 +54,7 @@ MIX = {"share": 0.6, "epochs": 2, "seed": 17}
 
 
 def op8_mix_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = {"domain": F.substring("domain", 2, 1).cast("double") + 1.0, "lang": F.when(F.col("lang") == "en", 4.0).otherwise(1.0)}
+    weights = {"domain": F.substring("domain", 2, 1).cast("double") + 1.0, "lang": F.when((F.col("domain") == "d1") & (F.col("lang") == "es"), 0.0).when(F.col("lang") == "en", 4.0).otherwise(1.0)}
     return mixing.mix(_table(spark, sf_dir, "documents"), weights=weights, **MIX)
 
 
@@ -92,18 +92,17 @@ FROM h
 """
 
 
-def _fill(name: str, source: str, parent: str, child: str, weight: str) -> str:
-    """Water filling of one level, as the operator does it; source has parent columns, child, c and b."""
+def _fill(name: str, source: str, parent: str, child: str) -> str:
+    """Water filling of one level; source has parent columns, child, usable supply c, weight w and budget b."""
     part = f"PARTITION BY {parent}" if parent else ""
     keys = f"{parent}, " if parent else ""
     return f"""
-{name}_a AS (SELECT *, {weight} AS w FROM {source}),
-{name}_b AS (SELECT *, c / w AS r FROM {name}_a),
+{name}_b AS (SELECT *, CASE WHEN w > 0 THEN c / w ELSE 0 END AS r FROM {source}),
 {name}_c AS (SELECT *,
     coalesce(sum(c) OVER ({part} ORDER BY r, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
       + r * sum(w) OVER ({part} ORDER BY r, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= b AS is_full FROM {name}_b),
 {name}_d AS (SELECT *, sum(CASE WHEN is_full THEN c ELSE 0 END) OVER ({part}) AS fc, sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({part}) AS ow FROM {name}_c),
-{name} AS (SELECT {keys}{child}, CASE WHEN is_full THEN c ELSE w * ((b - fc) / ow) END AS alloc FROM {name}_d)"""
+{name} AS (SELECT {keys}{child}, CASE WHEN w <= 0 THEN 0 WHEN is_full THEN c ELSE w * ((b - fc) / ow) END AS alloc FROM {name}_d)"""
 
 
 MIX_SQL = (
@@ -112,14 +111,15 @@ WITH base AS (
   SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, (strlen(coalesce(text, '')) + 3) // 4 AS tokens FROM documents),
 crc AS (SELECT source, domain FROM ({{crc}})),
 dealt AS (SELECT base.*, crc.domain FROM base JOIN crc USING (source)),
-leaves AS (SELECT domain, lang, source, sum(tokens)::DOUBLE AS tokens, {float(MIX["epochs"])}::DOUBLE * sum(tokens)::DOUBLE AS c FROM dealt GROUP BY ALL),
-mids AS (SELECT domain, lang, sum(c) AS c FROM leaves GROUP BY ALL),
-tops AS (SELECT domain, sum(c) AS c, (SELECT floor(sum(tokens) * {MIX["share"]}::DOUBLE) FROM leaves) AS b FROM mids GROUP BY ALL),"""
-    + _fill("t", "tops", "", "domain", "substring(domain, 2, 1)::DOUBLE + 1")
+leaves AS (SELECT domain, lang, source, sum(tokens)::DOUBLE AS tokens, {float(MIX["epochs"])}::DOUBLE * sum(tokens)::DOUBLE AS c, 1.0::DOUBLE AS w FROM dealt GROUP BY ALL),
+mids AS (SELECT domain, lang, w, CASE WHEN w > 0 THEN c ELSE 0 END AS c FROM (
+  SELECT domain, lang, sum(c) AS c, (CASE WHEN domain = 'd1' AND lang = 'es' THEN 0 WHEN lang = 'en' THEN 4 ELSE 1 END)::DOUBLE AS w FROM leaves GROUP BY domain, lang)),
+tops AS (SELECT domain, sum(c) AS c, substring(domain, 2, 1)::DOUBLE + 1 AS w, (SELECT floor(sum(tokens) * {MIX["share"]}::DOUBLE) FROM leaves) AS b FROM mids GROUP BY ALL),"""
+    + _fill("t", "tops", "", "domain")
     + ", mb AS (SELECT mids.*, t.alloc AS b FROM mids JOIN t USING (domain)),"
-    + _fill("m", "mb", "domain", "lang", "CASE WHEN lang = 'en' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END")
+    + _fill("m", "mb", "domain", "lang")
     + ", lb AS (SELECT leaves.*, m.alloc AS b FROM leaves JOIN m USING (domain, lang)),"
-    + _fill("l", "lb", "domain, lang", "source", "1.0::DOUBLE")
+    + _fill("l", "lb", "domain, lang", "source")
     + f""",
 plan AS (SELECT leaves.domain, leaves.lang, leaves.source, floor(alloc + 1e-6)::BIGINT AS leaf_budget, tokens AS supply FROM l JOIN leaves USING (domain, lang, source)),
 plan2 AS (SELECT *, CASE WHEN supply > 0 THEN floor(leaf_budget / supply)::BIGINT ELSE 0 END AS passes FROM plan),

@@ -255,7 +255,7 @@ def brute_mix(rows, share, epochs, weights, seed=17):
     def fill(budget, kids):  # name -> (weight, supply)
         out, open_ = {}, dict(kids)
         while open_:
-            level = budget / sum(w for w, _ in open_.values())
+            level = budget / (sum(w for w, _ in open_.values()) or 1)
             full = {k: c for k, (w, c) in open_.items() if c <= level * w + 1e-9}
             if not full:
                 return out | {k: level * w for k, (w, _) in open_.items()}
@@ -271,7 +271,8 @@ def brute_mix(rows, share, epochs, weights, seed=17):
         kids = Counter()
         for leaf, c in leaves.items():
             if leaf[: len(prefix)] == prefix:
-                kids[leaf[: len(prefix) + 1]] += c * epochs
+                usable = all(weights(leaf[:k]) > 0 for k in range(len(prefix) + 1, 4))
+                kids[leaf[: len(prefix) + 1]] += c * epochs * usable
         out = {}
         for k, b in fill(budget, {k: (weights(k), c) for k, c in kids.items()}).items():
             out |= down(k, b)
@@ -298,6 +299,36 @@ def test_mixing(docs_table, share, epochs):
     assert used <= min(share, epochs) * sum(r.tokens for r in rows)
 
 
+def mixed(spark, rows, weight, share, epochs=1):
+    """rows: (domain, source, documents, tokens of each); weight: of a path."""
+    docs = spark.createDataFrame([(i, "x" * 4 * n, d, s) for i, (d, s, n) in enumerate((d, s, t) for d, s, m, t in rows for _ in range(m))], "doc_id long, text string, domain string, source string")
+    level = lambda k, *c: F.udf(lambda *p: float(weight(p)), "double")(*c)
+    names = {"domain": level(1, "domain"), "lang": level(2, "domain", "lang"), "source": level(3, "domain", "lang", "source")}
+    return mixing.mix(docs.withColumn("lang", F.lit("en")), share, epochs, weights=names, domain=F.col("domain")).groupBy("domain", "source").agg(F.sum(F.col("tokens") * F.col("epochs")).alias("t"), F.first("leaf_budget").alias("b")).collect()
+
+
+def test_mixing_zero_weights(spark):
+    """No budget goes to what a weight of 0 holds, at any level: siblings, then ancestors' children, get it."""
+    rows = [("d0", "a", 100, 100), ("d0", "b", 10, 100), ("d1", "c", 1000, 100)]
+    got = {(r.domain, r.source): r.b for r in mixed(spark, rows, lambda p: p[-1] != "a", 40_000 / 111_000)}
+    assert got == {("d0", "a"): 0, ("d0", "b"): 1000, ("d1", "c"): 39_000}
+    got = {(r.domain, r.source): r.b for r in mixed(spark, rows, lambda p: p[0] != "d1", 0.5)}
+    assert got == {("d0", "a"): 10_000, ("d0", "b"): 1000, ("d1", "c"): 0}
+
+
+def test_water_fill_many_children(spark):
+    """Thousands of children with many equal and nearly equal ratios, against plain water filling."""
+    rng = random.Random(5)
+    kids = [(f"s{i}", float(rng.choice([0, 1, 2, 5])), float(rng.choice([0, 100, 100, 101, 250, 10**6]) + i % 3)) for i in range(3000)]
+    df = spark.createDataFrame([("p", n, w, c if w else 0.0, 200_000.0) for n, w, c in kids], "parent string, name string, w double, c double, b double")
+    got = {r.name: r.alloc for r in mixing.water_fill(df, ["parent"]).collect()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(c, w * mid) for _, w, c in kids if w) < 200_000 else (low, mid)
+    assert all(abs(got[n] - (min(c, w * low) if w else 0)) < 1e-3 for n, w, c in kids)
+
+
 def test_mixing_edges(spark, edge_docs, no_docs):
     assert mixing.mix(edge_docs, 0.5).count() == edge_docs.count() and mixing.mix(no_docs, 0.5).count() == 0
     assert mixing.mix_stage(edge_docs, 0.9).columns == edge_docs.columns

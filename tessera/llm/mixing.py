@@ -61,8 +61,9 @@ def water_fill(nodes: DataFrame, parent: list[str], cells: int = 256) -> DataFra
     ordered = part.orderBy("cell")
     sums = sums.withColumn("below", F.coalesce(F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     sums = sums.withColumn("above", F.sum("w").over(ordered.rowsBetween(0, Window.unboundedFollowing)))
-    reach = sums.where(F.col("below") + low * F.col("above") * F.lit(1 - 1e-12) <= F.col("b"))
-    edge = reach.groupBy(*keys).agg(F.max(F.struct("cell", "below", "above", "b")).alias("e"))
+    reach = F.col("below") + low * F.col("above") * F.lit(1 - 1e-12) <= F.col("b")
+    cell = F.struct("cell", "below", "above")
+    edge = sums.groupBy(*keys).agg(F.coalesce(F.max(F.when(reach, cell)), F.min(cell)).alias("e"))  # the first cell if the budget reaches none
     edge = cut(edge.select(*[f"p_{p}" for p in parent], F.col("e.cell").alias("edge"), F.col("e.below").alias("below"), F.col("e.above").alias("above")), "mix-edges")
     # inside that cell, one row a ratio
     inside = join(ready, edge).where("cell = edge").groupBy(*parent, "r").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.first("b").alias("b"), F.first("below").alias("below"), F.first("above").alias("above"))
@@ -135,9 +136,9 @@ def mix_rows(docs: DataFrame, share: float, epochs: int = 1, seed: int = 17, wei
     return rows.select(F.col("id").alias(key), "digest", *node, "tokens", F.col("alloc").alias("leaf_budget"), taken.cast("long").alias("epochs"))
 
 
-def mix(docs: DataFrame, share: float, **settings) -> DataFrame:
+def mix(docs: DataFrame, share: float, epochs: int = 1, **settings) -> DataFrame:
     """One row per document: key, domain, lang, source, tokens, leaf_budget, epochs (settings as in mix_rows)."""
-    return mix_rows(docs, share, **settings).drop("digest")
+    return mix_rows(docs, share, epochs, **settings).drop("digest")
 
 
 def mix_stage(docs: DataFrame, share: float) -> DataFrame:

@@ -81,6 +81,68 @@ def test_salvage_damage(wrap):
     assert [(a, b) for a, b, _ in warc.salvage(b"noise" + parts[0] + parts[1][:-7]).gaps] == [(0, 5), (5 + len(parts[0]), 5 + len(parts[0]) + len(parts[1]) - 7)]
 
 
+def ids_of(found):
+    return [int(r.headers["x-page-id"]) for r in found.records]
+
+
+def test_salvage_inside_members():
+    """A member of many records loses only the damaged one; a damaged or cut stream gives all records before the fault."""
+    parts = [record(n, bytes([97 + n]) * 400) for n in range(6)]
+    for k in range(6):
+        hurt = parts[k].replace(bytes([97 + k]) * 400, bytes([97 + k]) * 399 + b"!")
+        got = warc.salvage(warc.member(b"".join([*parts[:k], hurt, *parts[k + 1 :]])))
+        start = sum(map(len, parts[:k]))
+        assert ids_of(got) == [n for n in range(6) if n != k] and [(a, b) for _, a, b, _ in got.inner_gaps] == [(start, start + len(hurt))] and not got.gaps
+    noise = random.Random(0)
+    big = [record(n, noise.randbytes(300)) for n in range(12)]
+    whole = warc.member(b"".join(big))
+    for at in range(0, len(whole), 7):  # a damaged byte, followed by a good member
+        got = warc.salvage(whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :] + warc.member(record(50)))
+        good = ids_of(got)
+        assert good[-1] == 50 and len(good) - 1 >= (at - 700) // 450 and good[:-1] == sorted(good[:-1])
+
+
+def test_salvage_cut_anywhere():
+    parts = [record(n, random.Random(n).randbytes(90)) for n in range(8)]
+    plain, ends = b"".join(parts), np.cumsum([len(p) for p in parts])
+    for at in range(len(plain)):
+        got = warc.salvage(plain[:at])
+        assert ids_of(got) == list(range(int((ends <= at).sum())))
+        assert sum(b - a for a, b, _ in got.gaps) == at - (ends[ends <= at].max() if (ends <= at).any() else 0)
+    whole = warc.member(plain)
+    for at in range(20, len(whole)):
+        reader = __import__("zlib").decompressobj(31)
+        inflated = len(reader.decompress(whole[:at]))
+        got = warc.salvage(whole[:at])
+        assert ids_of(got) == list(range(int((ends <= inflated).sum())))
+        assert got.gaps and got.gaps[-1][1] == at
+
+
+def test_salvage_digests():
+    body = b"<p>hello</p>"
+    b32 = __import__("base64").b32encode(hashlib.sha1(body).digest()).decode()
+
+    def one(**headers):
+        lines = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in headers.items())
+        return warc.salvage(f"WARC/1.0\r\nWARC-Type: response\r\n{lines}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n")
+
+    wrong = b32[:-1] + ("A" if b32[-1] != "A" else "B")
+    for name in ("WARC_Block_Digest", "WARC_Payload_Digest"):
+        assert len(one(**{name: f"sha1:{b32}"}).records) == 1 and len(one(**{name: f"sha1:{hashlib.sha1(body).hexdigest().upper()}"}).records) == 1
+        assert not one(**{name: f"sha1:{wrong}"}).records and not one(**{name: "sha1:zz"}).records
+        assert len(one(**{name: f"sha256:{hashlib.sha256(body).hexdigest()}"}).records) == 1 and not one(**{name: "sha256:" + "0" * 64}).records
+        assert len(one(**{name: "blake9:whatever"}).records) == 1
+
+
+def test_salvage_is_linear():
+    start = __import__("time").perf_counter()
+    for unit in (b"WARC/1.0\r\n", b"x: WARC/1.0\r\n", b"\x1f\x8b\x08\x00", b"WARC/1.0\r\nContent-Length: 9\r\nWARC-Type: x\r\n"):
+        got = warc.salvage(unit * 100_000 + record(1) + unit * 10)
+        assert ids_of(got) == [1], unit
+    assert ids_of(warc.salvage(b"".join(warc.member(record(n)) for n in range(8000)))) == list(range(8000))
+    assert __import__("time").perf_counter() - start < 30
+
+
 def test_salvage_never_loses_whole_records():
     rng = random.Random(3)
     for _ in range(60):
@@ -108,6 +170,12 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_long_header(spark):
+    """Urls and so headers of any size are read back; empty and null ones too."""
+    pages = spark.createDataFrame([(1, "http://a/" + "x" * 1_000_000, "p"), (2, "é" * 30_000, "q"), (3, "", "r"), (4, None, "s")], "page_id long, url string, html string")
+    assert {r.page_id for r in warc.round_trip(pages).collect()} == {1, 2, 3, 4}
+
+
 def test_read_archives_logs_gaps(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1) + b"garbage" + record(2))
     rows = warc.read_archives(spark, f"file://{tmp_path}").collect()

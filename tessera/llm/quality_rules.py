@@ -1,20 +1,18 @@
 """Quality rules: base text statistics and n-gram perplexity bands per language.
 
 The language model is an interpolated modified Kneser-Ney model of character 5-grams, one per language. Spark counts
-the n-grams of all texts: each task sums its own texts' 5-grams (five 12-bit character codes in one 60-bit key),
-aggregates add them up and give the continuation counts of the lower orders, the counts of counts for the three
-discounts of each order, and the totals of each context. The model is kept as sorted key arrays with parallel
-probability and back-off arrays and looked up by binary search.
+the n-grams of all texts, exactly (21 bits a character): each task sums its own texts' 5-grams, aggregates add them up
+and give the continuation counts of the lower orders, the counts of counts for the three discounts of each order and
+language, and the totals of each context; joins give each seen n-gram its interpolated probability and each context
+its back-off weight. No n-gram is left out. The model is stored as one table sorted by 64-bit key, in pieces by
+the key's top bits, which workers read as they need them: neither the driver nor a worker holds it whole.
 
-Bound: at each order an n-gram is kept when it holds at least `share` of its language's characters, so no order
-has more than 1 / share n-grams a language, whatever the corpus; the mass of the others goes to the back-off weight.
-
-A document's perplexity is over all its characters. Bands are per language: quartiles of log perplexity over all
-documents with enough words, widened by `low` and `high` times the quartile range on either side.
+A document's perplexity is over all its characters, lower-cased. Bands are per language: quartiles of log perplexity over
+all documents with enough words, widened by `low` and `high` times the quartile range on either side.
 
 Edge cases: null text has no words and fails the base rules; null language is a language of its own; empty texts
-have no perplexity and are judged by the base rules alone; characters from code 4095 up share one code; rows
-that repeat a doc_id are judged each; an empty table gives an empty result; extra columns are ignored.
+have no perplexity and are judged by the base rules alone; rows that repeat a doc_id are judged each, equal texts
+of a language alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,31 +21,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, slices, text_batches
-from tessera.llm.wordhash import Words, grams
+from tessera.llm.keytable import BITS, KeyTable, before, code_points, key_of, last, mask, pack, write_table
+from tessera.llm.wordhash import Words, grams, mix
 
-ORDER, BITS = 5, 12
-_TOP = (1 << BITS) - 1
+ORDER = 5
+#: A context's back-off weight is stored under the kind of its n-grams' order plus this.
+WEIGHT = 8
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _SPACES = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 5-grams ending at each character of the lower-cased texts, and each one's text."""
+def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed 5-grams that end at each character (a text is preceded by four zeros), and each one's text."""
     pad = "\0" * (ORDER - 1)
-    joined = "".join(pad + t for t in texts)
-    code = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), _TOP).astype(np.int64)
+    codes = code_points("".join(pad + t for t in texts))
     sizes = np.array([len(t) for t in texts], np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes + ORDER - 1)
-    packed = np.zeros(len(code), np.int64)
-    for k in range(ORDER):
-        packed[k:] |= code[: len(code) - k] << (BITS * k)
+    hi, lo = pack(codes)
     starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
-    real = np.arange(len(code)) - starts[doc] >= ORDER - 1 if len(code) else np.zeros(0, bool)
-    return packed[real], doc[real]
+    real = np.arange(len(codes)) - starts[doc] >= ORDER - 1 if len(codes) else np.zeros(0, bool)
+    return hi[real], lo[real], doc[real]
+
+
+def _distinct(hi: np.ndarray, lo: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct packed n-grams, their summed times, and the place of each given one among them."""
+    _, first, place = np.unique(mix(lo.astype(np.uint64)) ^ hi.astype(np.uint64), return_index=True, return_inverse=True)
+    if (hi[first][place] != hi).any() or (lo[first][place] != lo).any():  # a clash of the sort key
+        _, first, place = np.unique(np.stack([hi, lo], 1), axis=0, return_index=True, return_inverse=True)
+    return hi[first], lo[first], np.bincount(place, times, len(first)).astype(np.int64), place
 
 
 def _lower(values: list) -> list[str]:
@@ -85,153 +90,148 @@ def base_stats(texts: list[str | None]) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """docs: lang, text. lang, gram, n of the highest order, summed per task."""
+    """docs: lang, text. lang, hi, lo, n of the highest order, summed per task."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def merged() -> int:
+            for lang, parts in held.items():
+                held[lang] = [_distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))[:3]]
+            return sum(len(p[0][0]) for p in held.values())
 
-        def add(lang: str, keys: np.ndarray, times: np.ndarray) -> None:
-            if lang in held:
-                keys, times = np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], times])
-                keys, place = np.unique(keys, return_inverse=True)
-                times = np.bincount(place, times, len(keys)).astype(np.int64)
-            held[lang] = keys, times
+        def flush() -> Iterator[pd.DataFrame]:
+            merged()
+            for lang, [(hi, lo, n)] in held.items():
+                yield pd.DataFrame({"lang": lang, "hi": hi, "lo": lo, "n": n})
+            held.clear()
 
         for f in frames:
             for lang, part in f.groupby("lang"):
                 texts = _lower(part["text"].tolist())
-                waiting: list[tuple[np.ndarray, np.ndarray]] = []
                 for a, b in slices([len(t) for t in texts], 1 << 19):
-                    waiting.append(np.unique(_codes(texts[a:b])[0], return_counts=True))
-                for keys, times in waiting:
-                    add(lang, keys, times)
-            if sum(len(k) for k, _ in held.values()) > 4_000_000:
-                for lang, (keys, times) in held.items():
-                    yield pd.DataFrame({"lang": lang, "gram": keys, "n": times})
-                held.clear()
-        for lang, (keys, times) in held.items():
-            yield pd.DataFrame({"lang": lang, "gram": keys, "n": times})
+                    hi, lo, _ = _packed(texts[a:b])
+                    if len(hi):
+                        held.setdefault(lang, []).append(_distinct(hi, lo)[:3])
+                        size += len(held[lang][-1][0])
+                    if size > 4_000_000:
+                        size = merged()
+                        if size > 3_000_000:
+                            yield from flush()
+                            size = 0
+        yield from flush()
 
-    return docs.mapInPandas(count, "lang string, gram long, n long")
+    return docs.mapInPandas(count, "lang string, hi long, lo long, n long")
 
 
 class Model:
-    """Sorted arrays of one language: by order (highest first), keys, probabilities, context keys, back-off weights."""
-
-    def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.probs: list[np.ndarray] = []
-        self.contexts: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
-        self.floor = 1e-4
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def prob(self, packed: np.ndarray, depth: int = 0) -> np.ndarray:
-        """Probability of the last character of each packed n-gram (order ORDER - depth) after the others."""
-        if depth == ORDER or depth >= len(self.keys):
-            return np.full(len(packed), self.floor)
-        at, hit = self._find(self.keys[depth], packed)
-        out = np.empty(len(packed))
-        out[hit] = self.probs[depth][at[hit]]
-        rest = np.flatnonzero(~hit)
+    """Looks up a stored model: probabilities of n-grams by order, back-off weights of contexts, a floor for each language."""
+
+    def __init__(self, table: KeyTable | None):
+        self.table = table
+
+    def _prob(self, hi: np.ndarray, lo: np.ndarray, lang: str, order: int) -> np.ndarray:
+        if order == 0:
+            floor = self.table.value(key_of(np.zeros(1, np.int64), np.zeros(1, np.int64), 0, lang))[0]
+            return np.full(len(hi), 1.0 if np.isnan(floor) else floor)
+        out = self.table.value(key_of(*last(hi, lo, order), order, lang))
+        rest = np.flatnonzero(np.isnan(out))
         if len(rest):
-            order = ORDER - depth
-            below = packed[rest] & ((1 << (BITS * (order - 1))) - 1)
-            c, known = self._find(self.contexts[depth], packed[rest] >> BITS)
-            weight = np.where(known, self.weights[depth][c] if len(self.weights[depth]) else 1.0, 1.0)
-            out[rest] = weight * self.prob(below, depth + 1)
+            weight = self.table.value(key_of(*before(*last(hi[rest], lo[rest], order)), order + WEIGHT, lang))
+            out[rest] = np.where(np.isnan(weight), 1.0, weight) * self._prob(hi[rest], lo[rest], lang, order - 1)
+        return out
+
+    def log_probs(self, texts: list[str], lang: str) -> np.ndarray:
+        """Summed log probabilities of the characters of each lower-cased text; every distinct n-gram is looked up once."""
+        parts = []
+        for a, b in slices([len(t) for t in texts], 1 << 19):
+            hi, lo, doc = _packed(texts[a:b])
+            h, w, _, place = _distinct(hi, lo) if len(hi) else (hi, lo, None, doc)
+            parts.append((a, b, doc, place.astype(np.int32), h, w))
+        if not parts:
+            return np.zeros(0)
+        hi, lo, _, every = _distinct(np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]))
+        logs = np.log(self._prob(hi, lo, lang, ORDER)) if len(hi) else np.zeros(0)
+        out, at = np.zeros(len(texts)), 0
+        for a, b, doc, place, h, _ in parts:
+            own = logs[every[at : at + len(h)]]
+            at += len(h)
+            out[a:b] = np.bincount(doc, own[place], b - a) if len(h) else 0
         return out
 
-    def log_prob(self, packed: np.ndarray) -> np.ndarray:
-        kinds, place = np.unique(packed, return_inverse=True)
-        return np.log(self.prob(kinds))[place]
+
+def _discounts(n: list[Column]) -> list[Column]:
+    """The three discounts of modified Kneser-Ney from the counts of counts 1 to 4; moderate fixed ones where these don't allow it."""
+    n1, n2, n3, n4 = n
+    whole = (n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0)
+    y = n1 / (n1 + 2 * n2)
+    made = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return [F.when(whole, F.greatest(F.least(d, F.lit(high)), F.lit(low))).otherwise(F.lit(else_)) for d, low, high, else_ in zip(made, (0.05, 0.1, 0.15), (0.95, 1.9, 2.85), (0.5, 0.75, 0.9), strict=True)]
 
 
-def train(counts: DataFrame, share: float = 5e-7) -> dict[str, Model]:
-    """counts: lang, gram, n of the highest order over all texts."""
-    tables: dict[int, DataFrame] = {}
-    level = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", "gram", "n", F.col("n").alias("raw")), "grams-5")
-    tables[ORDER] = level
+def train(counts: DataFrame) -> Model:
+    """counts: lang, hi, lo, n of the highest order over all texts."""
+    short = lambda chars: ((F.col("hi").bitwiseAND(F.lit(mask(chars - 3))) if chars > 3 else F.lit(0).cast("long")).alias("hi"), F.col("lo").bitwiseAND(F.lit(mask(min(chars, 3)))).alias("lo"))
+    tables: dict[int, DataFrame] = {ORDER: cut(counts.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "grams-5")}
     for order in range(ORDER - 1, 0, -1):
-        below = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
-        level = cut(level.groupBy("lang", below.alias("gram")).agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw")), f"grams-{order}")
-        tables[order] = level
-    sizes = {r["lang"]: r["t"] for r in tables[1].groupBy("lang").agg(F.sum("raw").alias("t")).collect()}
-    models: dict[str, Model] = {lang: Model() for lang in sizes}
-    if not models:
-        return models
-    totals = tables[1].groupBy("lang").agg(F.sum("raw").alias("t"))
-    parts: dict[int, pd.DataFrame] = {}
-    discounts: dict[int, dict] = {}
-    for order, t in tables.items():
-        few = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        discounts[order] = {r["lang"]: _discounts([r[f"n{k}"] for k in (1, 2, 3, 4)]) for r in t.groupBy("lang").agg(*few).collect()}
-        # a context has at most 4096 followers, so its window is bounded
-        whole = t.withColumn("ctx_sum", F.sum("n").over(Window.partitionBy("lang", F.shiftright("gram", BITS))))
-        parts[order] = whole.join(F.broadcast(totals), "lang").where(F.col("raw") >= F.col("t") * F.lit(share)).select("lang", "gram", "n", "ctx_sum").toPandas()
-    for lang, m in models.items():
-        lower = None
-        made = []
-        for order in range(1, ORDER + 1):
-            f = parts[order][parts[order]["lang"] == lang].sort_values("gram")
-            key, n, whole = f["gram"].to_numpy(np.int64), f["n"].to_numpy(float), f["ctx_sum"].to_numpy(float)
-            own = np.maximum(n - discounts[order][lang][np.minimum(n, 3).astype(int) - 1], 0) / whole
-            ctx, place = np.unique(key >> BITS, return_inverse=True)
-            weight = np.maximum(1 - np.bincount(place, own, len(ctx)), 1e-9)
-            if lower is None:
-                m.floor = 1 / (len(key) + 1)  # one unknown character
-                base = np.full(len(key), m.floor)
-            else:
-                base = lower.prob(key & ((1 << (BITS * (order - 1))) - 1), ORDER - order + 1)
-            made.append((key, own + weight[place] * base, ctx, weight))
-            lower = Model()
-            lower.floor = m.floor
-            lower.keys, lower.probs, lower.contexts, lower.weights = ([*[np.zeros(0)] * (ORDER - order), *(x[k] for x in reversed(made))] for k in range(4))
-        m.keys, m.probs, m.contexts, m.weights = lower.keys, lower.probs, lower.contexts, lower.weights
-    return models
-
-
-def _discounts(n: list[int]) -> np.ndarray:
-    """The three discounts of modified Kneser-Ney; moderate fixed ones where the counts of counts don't allow it."""
-    n1, n2, n3, n4 = (x or 0 for x in n)
-    if min(n1, n2, n3, n4) == 0:
-        return np.array([0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])
+        tables[order] = cut(tables[order + 1].groupBy("lang", *short(order)).agg(F.count(F.lit(1)).alias("n")), f"grams-{order}")
+    floors = tables[1].groupBy("lang").agg((F.lit(1.0) / (F.count(F.lit(1)) + 1)).alias("p"))
+    made = [floors.select("lang", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), F.col("p").alias("value"))]
+    lower = None
+    for order in range(1, ORDER + 1):
+        t = tables[order]
+        per = t.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        per = cut(per.select(F.col("lang").alias("lang2"), *[d.alias(f"d{k + 1}") for k, d in enumerate(_discounts([F.col(f"n{k}") for k in (1, 2, 3, 4)]))]), "discounts")  # one row a language
+        cost = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        c_hi, c_lo = F.shiftright("hi", BITS), F.shiftright("lo", BITS).bitwiseOR(F.shiftleft(F.col("hi").bitwiseAND(F.lit(mask(1))), 2 * BITS))
+        t = t.join(per, F.col("lang") == F.col("lang2")).select("lang", "hi", "lo", "n", cost.alias("cost"), c_hi.alias("c_hi"), c_lo.alias("c_lo"))
+        contexts = cut(t.groupBy(F.col("lang").alias("lang3"), F.col("c_hi").alias("x_hi"), F.col("c_lo").alias("x_lo")).agg(F.sum("n").alias("whole"), (F.sum("cost") / F.sum("n")).alias("weight")), f"contexts-{order}")
+        t = t.join(contexts, (F.col("lang") == F.col("lang3")) & (F.col("c_hi") == F.col("x_hi")) & (F.col("c_lo") == F.col("x_lo")))
+        t = t.select("lang", "hi", "lo", ((F.col("n") - F.col("cost")) / F.col("whole")).alias("own"), "weight", *[c.alias(f"s_{n}") for c, n in zip(short(order - 1) if order > 1 else (), ("hi", "lo"), strict=False)])
+        if order == 1:
+            t = t.join(floors.withColumnRenamed("lang", "lang4"), F.col("lang") == F.col("lang4"))
+        else:
+            below = lower.select(F.col("lang").alias("lang4"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), "p")
+            t = t.join(below, (F.col("lang") == F.col("lang4")) & (F.col("s_hi") == F.col("b_hi")) & (F.col("s_lo") == F.col("b_lo")))
+        lower = cut(t.select("lang", "hi", "lo", (F.col("own") + F.col("weight") * F.col("p")).alias("p")), f"probs-{order}")
+        made.append(lower.select("lang", F.lit(order).alias("kind"), "hi", "lo", F.col("p").alias("value")))
+        made.append(contexts.select(F.col("lang3").alias("lang"), F.lit(order + WEIGHT).alias("kind"), F.col("x_hi").alias("hi"), F.col("x_lo").alias("lo"), F.col("weight").alias("value")))
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            key = np.zeros(len(f), np.int64)
+            for (lang, kind), at in f.groupby(["lang", "kind"]).indices.items():
+                key[at] = key_of(f["hi"].to_numpy()[at], f["lo"].to_numpy()[at], int(kind), lang).view(np.int64)
+            yield pd.DataFrame({"key": key, "value": f["value"].astype("float32")})
+
+    rows = made[0]
+    for m in made[1:]:
+        rows = rows.unionByName(m)
+    size = sum(t.count() for t in tables.values())
+    return Model(KeyTable(*write_table(rows.mapInPandas(keyed, "key long, value float"), "perplexity-model", 2 * size), ("value",)))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", low: float = 3.0, high: float = 6.0, least_words: int = 50, share: float = 5e-7) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", low: float = 3.0, high: float = 6.0, least_words: int = 50) -> DataFrame:
     """One row per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity."""
     text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     base = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("?")).alias("lang"))
-    models = train(count_grams(base.where("text IS NOT NULL").select("lang", "text")), share)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    model = train(count_grams(base.where("text IS NOT NULL").select("lang", "text")))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for f in frames:
             stats = base_stats(f["text"].tolist())
             logs = np.full(len(f), np.nan)
             langs = f["lang"].to_numpy()
-            for name in set(langs.tolist()) & known.keys():
+            for name in sorted(set(langs.tolist())):
                 rows = np.flatnonzero(langs == name)
                 texts = _lower([f["text"].iloc[k] for k in rows])
-                for a, b in slices([len(t) for t in texts], 1 << 19):
-                    packed, doc = _codes(texts[a:b])
-                    if len(packed):
-                        total = np.bincount(doc, known[name].log_prob(packed), b - a)
-                        size = np.bincount(doc, minlength=b - a)
-                        full = size > 0
-                        logs[rows[a:b][full]] = -total[full] / size[full]
+                size = np.array([len(t) for t in texts])
+                for a, b in slices(size.tolist(), 1 << 23):
+                    total, full = model.log_probs(texts[a:b], name), size[a:b] > 0
+                    logs[rows[a:b][full]] = -total[full] / size[a:b][full]
             yield pd.DataFrame({"id": f["id"], "lang": langs, **{n: stats[:, k] for k, n in enumerate(names)}, "logp": logs})
 
     schema = f"id string, lang string, {', '.join(f'{n} long' for n in names)}, logp double"

@@ -307,6 +307,53 @@ def test_language_backoff(spark):
     assert (got[1000], got[1001]) == ("en", "de")
 
 
+def brute_language(train, texts, languages):
+    """Word-first backoff with dictionaries; train: (text, lang)."""
+    runs = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for t, lang in train:
+        for w in runs(t):
+            counts[0][w][lang] += 1
+            marked = "\1" + w
+            for end in range(2, len(marked) + 1):
+                for n in range(1, min(5, end) + 1):
+                    counts[n][marked[end - n : end]][lang] += 1
+    mass = [{x: sum(c[x] for c in counts[k].values()) + 0.2 * len(counts[k]) for x in languages} for k in range(6)]
+    log = lambda k, key, x: np.log((counts[k].get(key, {}).get(x, 0) + 0.2) / mass[k][x])
+    out = []
+    for t in texts:
+        total = dict.fromkeys(languages, 0.0)
+        for w in runs(t):
+            marked = "\1" + w
+            for x in languages:
+                if w in counts[0]:
+                    total[x] += log(0, w, x)
+                    continue
+                for end in range(2, len(marked) + 1):
+                    known = [n for n in range(1, min(5, end) + 1) if marked[end - n : end] in counts[n]]
+                    total[x] += log(known[-1], marked[end - known[-1] : end], x) / known[-1] if known else np.log(0.2 / mass[1][x])
+        out.append([total[x] for x in languages])
+    return np.array(out)
+
+
+def test_language_brute_force(spark, docs_table, monkeypatch):
+    """The same summed scores as plain dictionaries, with the table in one piece and in many."""
+    rows = [r for r in docs_table.collect() if r.text and len(r.text) < 3000][:60]
+    train, asked = [(r.text, r.lang) for r in rows[:30]], [r.text.lower() for r in rows[30:]] + ["", "12 !", "ünsëen wörds 中文字 хорошо"]
+    for size in (1 << 20, 500):
+        monkeypatch.setattr(language.write_table.__globals__["math"], "log2", lambda x, size=size: np.log2(max(x * (1 << 20) / size, 1e-9)))
+        model = language.train(spark.createDataFrame(train, "text string, lang string"))
+        monkeypatch.undo()
+        assert (model.table.bits > 3) == (size == 500)
+        assert np.allclose(model.score(asked), brute_language(train, asked, model.languages), rtol=1e-4, atol=1e-3)
+
+
+def test_language_ties(spark):
+    """Equal scores go to the first language by name; a document without anything known still gets one."""
+    docs = spark.createDataFrame([(i, "same words", x) for i, x in enumerate(["xx", "aa"] * 8)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(docs).collect()} == {"aa"}
+
+
 # --- mixing
 
 
@@ -449,20 +496,50 @@ def test_base_stats(edge_docs, docs_table):
     assert quality_rules.base_stats(texts).tolist() == [brute_stats(t or "") for t in texts]
 
 
-def test_kneser_ney(spark):
-    """Probabilities after any context sum to about one over the alphabet, and match a direct computation of the top order."""
-    text = "abracadabra arcade abba cab " * 20
-    docs = spark.createDataFrame([("en", text), ("en", "cabra abra dab")], "lang string, text string")
-    model = quality_rules.train(quality_rules.count_grams(docs))["en"]
-    alphabet = sorted(set(text))
-    for context in ("abra", "cab ", "dabr", "zzzz", "a ca"):
-        base = 0
-        for c in context:
-            base = base << quality_rules.BITS | ord(c)
-        grams = np.array([base << quality_rules.BITS | ord(c) for c in alphabet])
-        p = model.prob(np.append(grams, base << quality_rules.BITS | 999))
-        assert (p > 0).all() and abs(p.sum() - 1) < 0.01
-    assert all((np.diff(k) > 0).all() for k in model.keys)
+def brute_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over character 5-grams with dictionaries: log probability of each character of a text."""
+    counts = [None] * 6
+    counts[5] = Counter(("\0" * 4 + t)[i : i + 5] for t in texts for i in range(len(t)))
+    for k in range(4, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, context = {}, {}
+    for k in range(1, 6):
+        n = [sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if min(n) else None
+        raw = [i + 1 - (i + 2) * y * n[i + 1] / n[i] if i else 1 - 2 * y * n[1] / n[0] for i in range(3)] if min(n) else [0.5, 0.75, 0.9]
+        low, high = ([0.05, 0.1, 0.15], [0.95, 1.9, 2.85]) if min(n) else (raw, raw)
+        discounts[k] = [min(max(r, a), b) for r, a, b in zip(raw, low, high)]
+        for g, c in counts[k].items():
+            context.setdefault(g[:-1], []).append(c)
+
+    def prob(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, own = len(g), context.get(g[:-1])
+        if not own:
+            return prob(g[1:])
+        d, c = discounts[k], counts[k].get(g, 0)
+        rest = sum(d[min(x, 3) - 1] for x in own) / sum(own)
+        return (max(c - d[min(c, 3) - 1], 0) if c else 0) / sum(own) + rest * prob(g[1:])
+
+    return lambda t: sum(np.log(prob(("\0" * 4 + t)[i : i + 5])) for i in range(len(t)))
+
+
+def test_kneser_ney(spark, monkeypatch):
+    """Log probabilities of seen and unseen texts, per language, against dictionaries; every script keeps its characters apart."""
+    texts = {"en": ["abracadabra arcade abba cab " * 20, "cabra abra dab", "the cat sat on the mat"], "zh": ["中文字符很多的文本", "文字中的符很文本多", "我们在这里写一些句子"]}
+    docs = spark.createDataFrame([(x, t) for x, own in texts.items() for t in own], "lang string, text string")
+    asked = ["abra arcade", "zzz unseen qqq", "cat mat", "中文文本", "另外的字", "x" * 30]
+    for rows in (1 << 20, 40):
+        monkeypatch.setattr(quality_rules.write_table.__globals__["math"], "log2", lambda x, rows=rows: np.log2(max(x * (1 << 20) / rows, 1e-9)))
+        model = quality_rules.train(quality_rules.count_grams(docs))
+        monkeypatch.undo()
+        for lang, own in texts.items():
+            brute = brute_kneser_ney(own)
+            for t in [*own, *asked]:
+                assert abs(model.log_probs([t], lang)[0] - brute(t)) < 1e-3 * max(1, abs(brute(t))), (lang, t)
+    a, b = model.log_probs(["中文字符很多的文本", "本文的多很符字文中"], "zh")
+    assert a > b + 5
 
 
 def test_rules(spark, edge_docs, no_docs):

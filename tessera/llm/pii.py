@@ -1,16 +1,22 @@
 """Personal data: exact base patterns, and a skip-chain conditional random field over each document.
 
-Base spans come from the four patterns, in linear time, and always stay. The field's variables are the base spans
-and the other spans that look alike (long digit groups, dotted numbers, spelled-out addresses). Its potentials:
-
-- node: log share of each label among spans of that shape in the whole corpus, clipped to +-`clip`;
+Base spans come from the four patterns, in linear time, and always stay. The field's variables are, in every document,
+the base spans and the other spans that look alike: long digit groups, dotted numbers, spelled-out addresses, values that
+are assigned to a token, key, secret or password, and long mixed runs of letters and digits. Labels are none, the four
+base kinds and secret. Potentials, in log units:
+
+- node: log share of each label among spans of that shape in the whole corpus, clipped to -`clip`. Base patterns never
+  label secrets, so those two shapes have fixed ones: an assigned value is one, as surely as a base span is of its
+  kind; a bare run is none (3 over secret);
 - chain: log share of label pairs of neighbouring spans against chance, clipped likewise;
-- skip: `skip` for equal labels on edges between a span and the next one, however distant, that repeats it or is
-  similar (same last digits, same name before the at sign), and between each such repetition and a base span of
-  every kind that has its likeness, wherever in the document that stands.
+- skip: for equal labels, on edges between a span and the next one, however distant, that repeats it or is similar
+  (same last digits, same name before the at sign, same run), and between each such repetition and a base span of
+  every kind that has its likeness, wherever in the document that stands. It is learned: the log odds that two base
+  spans of one document with the same likeness have the same label, from all documents, with a prior of
+  `prior` agreeing pairs to one (so 4 at the start, more as the corpus bears it out, less where likeness misleads).
 
 Loopy sum-product passes with damping, until the messages settle, give marginals; a span whose marginal of one kind
-is above one half is added. Base spans are clamped, so they may have any number of edges: a span has at most one to
+is above one half is added. Base spans and assigned values are clamped, so they may have any number of edges: a span has at most one to
 its predecessor and one a kind to a base span, so edges grow in proportion to spans. The clamp outweighs the messages of any number of them.
 
 The text is read once; fitting sums small tables of shapes of all documents (at most a few hundred rows by
@@ -34,7 +40,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("none", *KINDS)
+ALL_KINDS = (*KINDS, "secret")
+LABELS = ("none", *ALL_KINDS)
+#: Log potentials of the shape of bare runs, by label (assigned values are clamped).
+SECRET_SHAPES = {"secret/bare": {"none": 0.0, "secret": -3.0}}
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _QUAD = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -42,6 +51,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"\(?[0-9](?:[ ().-]?[0-9]){6,18}(?![0-9])")
 _SPELLED = re.compile(r" ?[(\[ ](?:at|AT)[)\] ] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[ ](?:dot|DOT)[)\] ]) ?[A-Za-z0-9-]+)+")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_-]{12,})")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 _LOCAL_BYTES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -101,6 +112,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def _describe(kind: str, text: str) -> tuple[str, str]:
     """Shape (one of a few hundred) and likeness key of a span."""
     digits = re.sub("[^0-9]", "", text)
+    if kind == "secret/assigned" or kind == "secret/bare":
+        return kind, f"s:{text}"
     if "@" in text or (not digits[6:] and re.search("(?i)[(\\[ ]at[)\\] ]", text)):
         name = re.split("(?i)@| ?[(\\[ ]at[)\\] ]", text)[0].lower()
         return ("email/sign" if "@" in text else "email/spelled"), f"e:{name}"
@@ -117,15 +130,36 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str]]:
     starts = np.array([a for a, _ in taken])
     ends = np.maximum.accumulate(np.array([b for _, b in taken])) if taken else np.zeros(0, int)
     out = [(k, a, b) for k, a, b in base]
-    more = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
-    more += _spelled(text)
+    more = [(*m.span(1), "secret/assigned") for m in _ASSIGNED.finditer(text)]
+    more += [(*m.span(), "secret/bare") for m in _RUN.finditer(text) if _mixed(m.group())]
+    more += [(m.start(), m.end(), "") for m in _DIGITS.finditer(text)]
+    more += [(a, b, "") for a, b in _spelled(text)]
     last = -1
-    for a, b in sorted(more):
+    for a, b, form in sorted(more, key=lambda x: (x[0], x[2] != "secret/assigned", -x[1])):
         near = int(np.searchsorted(starts, b)) - 1
         if a >= last and not (near >= 0 and ends[near] > a):
-            out.append(("none", a, b))
+            out.append((form or "none", a, b))
             last = b
-    return [(k, a, b, *_describe(k, text[a:b])) for k, a, b in sorted(out, key=lambda x: (x[1], x[2], x[0]))]
+    made = [(k if k in KINDS else "none", a, b, *_describe(k, text[a:b])) for k, a, b in out]
+    return sorted(made, key=lambda x: (x[1], x[2], x[0]))
+
+
+def _mixed(run: str) -> bool:
+    """Four digits and four letters at least."""
+    digits = sum(c in "0123456789" for c in run)
+    return digits >= 4 and sum(c.isalpha() for c in run) >= 4
+
+
+def agreement(found: list[tuple[str, int, int, str, str]]) -> tuple[int, int]:
+    """Pairs of base spans with the same likeness: with the same label, with different ones."""
+    by: dict[str, dict[str, int]] = {}
+    for label, _, _, _, key in found:
+        if label != "none":
+            own = by.setdefault(key, {})
+            own[label] = own.get(label, 0) + 1
+    same = sum(c * (c - 1) // 2 for own in by.values() for c in own.values())
+    every = sum(n * (n - 1) // 2 for n in (sum(own.values()) for own in by.values()))
+    return same, every - same
 
 
 def propagate(node: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: int | None = None, damping: float = 0.3, settled: float = 1e-8) -> np.ndarray:
@@ -155,10 +189,9 @@ def propagate(node: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: i
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
-def _infer(spans: list, node_of: dict[str, np.ndarray], chain: np.ndarray, skip: float, clamp: float = 1e9) -> list[tuple[str, int, int]]:
-    labels = [s["label"] for s in spans]
-    if "none" not in labels:
-        return []
+def field_of(spans: list, node_of: dict[str, np.ndarray], chain: np.ndarray, skip: float, clamp: float = 1e9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node potentials, edges and edge potentials of a document's field."""
+    labels = ["secret" if s["shape"] == "secret/assigned" else s["label"] for s in spans]
     flat = node_of.get("", np.zeros(len(LABELS)))
     node = np.array([node_of.get(s["shape"], flat) for s in spans], float)
     for k, x in enumerate(labels):
@@ -185,19 +218,24 @@ def _infer(spans: list, node_of: dict[str, np.ndarray], chain: np.ndarray, skip:
         pairs += [(j, k) for j in sorted(linked)]
         tables += [alike] * len(linked)
         seen[s["key"]] = k
-    if not pairs:
+    size = len(LABELS)
+    return node, np.array(pairs, np.int64).reshape(-1, 2), np.array(tables, float).reshape(-1, size, size)
+
+
+def _infer(spans: list, node_of: dict[str, np.ndarray], chain: np.ndarray, skip: float) -> list[tuple[str, int, int]]:
+    if all(s["label"] != "none" for s in spans):
         return []
-    p = propagate(node, np.array(pairs), np.array(tables))
+    p = propagate(*field_of(spans, node_of, chain, skip))
     best = p.argmax(1)
-    return [(LABELS[b], s["start"], s["end"]) for s, b, x, q in zip(spans, best, labels, p, strict=True) if x == "none" and b and q[b] > 0.5]
+    return [(LABELS[b], s["start"], s["end"]) for s, b, q in zip(spans, best, p, strict=True) if s["label"] == "none" and b and q[b] > 0.5]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (ALL_KINDS.index(x[0]), x[1], x[2])))
 
 
-def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", skip: float = 4.0, clip: float = 3.0) -> DataFrame:
-    """One row per document: key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
+def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float = 54.6, clip: float = 3.0) -> DataFrame:
+    """One row per document: key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_secret, n_spans."""
     text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     base = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))  # as text, nulls don't make numbers floats
@@ -205,10 +243,14 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", skip: flo
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [[dict(zip(("label", "start", "end", "shape", "key"), c, strict=True)) for c in candidates(t)] if t else [] for t in f["text"]]
-            yield pd.DataFrame({"id": f["id"], "vars": rows})
-
-    rows = cut(base.mapInPandas(read, f"id string, vars {item}"), "pii-spans")
+            found = [candidates(t) if t else [] for t in f["text"]]
+            pairs = [agreement(c) for c in found]
+            rows = [[dict(zip(("label", "start", "end", "shape", "key"), c, strict=True)) for c in own] for own in found]
+            yield pd.DataFrame({"id": f["id"], "vars": rows, "agree": [a for a, _ in pairs], "differ": [b for _, b in pairs]})
+
+    rows = cut(base.mapInPandas(read, f"id string, vars {item}, agree long, differ long"), "pii-spans")
+    alike = rows.agg(F.sum("agree"), F.sum("differ")).first()
+    skip = float(np.clip(np.log(((alike[0] or 0) + prior) / ((alike[1] or 0) + 1)), 0, 6))
     spans = rows.where("size(vars) > 0").select(F.explode("vars").alias("v"))
     shapes = spans.groupBy("v.shape", "v.label").agg(F.count(F.lit(1)).alias("n")).toPandas()  # shapes are a few hundred
     ahead = F.expr("transform(sequence(1, size(vars) - 1), k -> named_struct('a', vars[k - 1].label, 'b', vars[k].label, 'gap', vars[k].start - vars[k - 1].end))")
@@ -217,6 +259,9 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", skip: flo
     for shape, g in shapes.groupby("shape"):
         counts = np.array([g.loc[g["label"] == x, "n"].sum() for x in LABELS], float) + 0.5
         node_of[shape] = np.clip(np.log(counts / counts.max()), -clip, 0)
+        node_of[shape][LABELS.index("secret")] = -2 * clip
+    for shape, own in SECRET_SHAPES.items():
+        node_of[shape] = np.array([own.get(x, -2 * clip) for x in LABELS])
     table = np.full((len(LABELS), len(LABELS)), 0.5)
     for a, b, n in follow.itertuples(index=False):
         table[LABELS.index(a), LABELS.index(b)] += n
@@ -229,10 +274,10 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", skip: flo
             for i, found in zip(f["id"], f["vars"], strict=True):
                 found = list(found)
                 own = [(s["label"], s["start"], s["end"]) for s in found if s["label"] != "none"]
-                added = _infer(found, node_of, chain, skip) if own else []
+                added = _infer(found, node_of, chain, skip)
                 held = [x[0] for x in own]
-                out.append((i, *(held.count(k) for k in KINDS), hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(own + added), len(added)))
-            yield pd.DataFrame(out, columns=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                out.append((i, *(held.count(k) for k in KINDS), hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(own + added), len(added), sum(k == "secret" for k, _, _ in added), len(own) + len(added)))
+            yield pd.DataFrame(out, columns=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_secret", "n_spans"])
 
-    schema = "id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = "id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_spans long"
     return rows.mapInPandas(infer, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)

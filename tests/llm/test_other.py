@@ -233,6 +233,14 @@ def test_pii_skip_chain(spark):
     assert rows[0].n_phone == 1 and rows[0].n_added == 1
 
 
+def test_pii_secrets(spark):
+    """Assigned values are secrets in documents without base spans too; their bare repetitions follow, other runs don't."""
+    run = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    docs = spark.createDataFrame([(0, f'it said token = "{run}" and later {run} but not {run[::-1]}'), (1, f"only {run} here")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert rows[0].n_secret == 2 and rows[1].n_spans == 0 and rows[0].n_email == 0 and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 @pytest.mark.parametrize("times", [2, 5, 30])
 def test_pii_repetitions(spark, times):
     """Every repetition of a base span is found, before or after it, though most spans of its shape in the corpus are no personal data."""
@@ -275,6 +283,70 @@ def test_propagation_is_exact_on_trees():
     assert np.allclose(pii.propagate(node, pairs, tables, 40), total / total.sum(1, keepdims=True), atol=1e-6)
 
 
+def exact_marginals(node, pairs, tables):
+    n, size = node.shape
+    total = np.zeros((n, size))
+    for state in np.ndindex(*(size,) * n):
+        w = np.exp(sum(node[i, x] for i, x in enumerate(state)) + sum(t[state[a], state[b]] for (a, b), t in zip(pairs, tables)))
+        for i, x in enumerate(state):
+            total[i, x] += w
+    return total / total.sum(1, keepdims=True)
+
+
+def test_field_against_enumeration():
+    """Labels of small documents by loopy passes are those of exact enumeration, and marginals are near."""
+    rng = random.Random(2)
+    bits = ["+44 20 7946 0958", "020 7946 0958", "jo.doe@site.org", "jo.doe (at) site.org", "555 1234 999", 'token = "ab12cd34ef56ab12cd34"', "ab12cd34ef56ab12cd34", "10.0.0.1"]
+    shape = np.array([0, -3, -3, -3, -3, -6.0])
+    node_of = {"": shape} | {k: np.array([v.get(x, -6.0) for x in pii.LABELS]) for k, v in pii.SECRET_SHAPES.items()}
+    chain = np.random.default_rng(0).normal(size=(6, 6)) / 8
+    worst = 0
+    for _ in range(40):
+        text = " and some more words here ".join(rng.choice(bits) for _ in range(5))
+        spans = [dict(zip(("label", "start", "end", "shape", "key"), c)) for c in pii.candidates(text)]
+        if not 2 <= len(spans) <= 6:
+            continue
+        field = pii.field_of(spans, node_of, chain, 4.0, clamp=60.0)
+        got, want = pii.propagate(*field), exact_marginals(*field)
+        worst = max(worst, np.abs(got - want).max())
+        sure = want.max(1) > 0.6
+        assert (got.argmax(1) == want.argmax(1))[sure].all(), text
+    assert 0 < worst < 0.25
+
+
+def test_pii_planted_repetitions(spark):
+    """Precision and recall of added spans on planted repetitions of numbers, addresses and secrets among decoys; base spans stay."""
+    rng = random.Random(8)
+    filler = lambda: " ".join(rng.choice(["the", "plan", "was", "good", "at", "once", "and", "dot", "by", "then"]) for _ in range(40))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts, planted = [], []
+    for i in range(80):
+        local, name, run = f"{digits(3)} {digits(4)} {digits(4)}", f"jo{i}.q{digits(3)}", "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        first, again, kind = [(f"+44 {local}", local, "phone"), (f"{name}@site.org", f"{name} (at) site.org", "email"), (f'token = "{run}"', run, "secret")][i % 3]
+        parts = [filler(), first, filler(), *[x for _ in range(rng.randrange(1, 4)) for x in (again, filler())], f"ref {digits(11)}", filler()]
+        if rng.random() < 0.5:
+            parts[0], parts[1:3] = parts[0], [parts[1], parts[2]]
+        text, want = "", set()
+        for p in parts:
+            if p == again or (kind == "secret" and p == first):
+                at = len(text) + (p.index(run) if kind == "secret" else 0)
+                want.add(f"{kind}:{at}:{at + len(again)}")
+            text += p + " "
+        texts.append(text)
+        planted.append(want)
+    texts += [f"{filler()} {digits(11)} {filler()} {digits(3)} {digits(4)} {digits(4)}" for _ in range(40)]
+    planted += [set()] * 40
+    rows = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    added, right, all_ = 0, 0, sum(map(len, planted))
+    for i, t in enumerate(texts):
+        base = {f"{k}:{a}:{b}" for k, a, b in brute_pii(t)}
+        spans = set(rows[i].spans.split(",")) - {""}
+        assert base <= spans and rows[i].n_spans == len(spans)
+        added += len(spans - base)
+        right += len((spans - base) & planted[i])
+    assert right / added > 0.97 and right / all_ > 0.9, (right, added, all_)  # those missed follow a stray "at" of the filler
+
+
 # --- language
 
 

@@ -84,7 +84,14 @@ def json_path(key: str) -> str:
         return f'$["{key}"]'
     if "'" not in key:
         return f"$['{key}']"
-    raise ValueError("a key with both kinds of quotes can't be addressed")
+    raise ValueError("a path can't name a key with both kinds of quotes; use field_of")
+
+
+def field_of(parsed: Column, key: str) -> Column:
+    """A top-level field of a variant object; null where it is missing. Any key can be asked for."""
+    if '"' in key and "'" in key:  # paths have no escapes
+        return F.get(F.transform(F.filter(F.map_entries(F.try_variant_get(parsed, "$", "map<string,variant>")), lambda e: e["key"] == key), lambda e: e["value"]), F.lit(0))
+    return F.try_variant_get(parsed, json_path(key), "variant")
 
 
 def type_class(value: Column) -> Column:
@@ -104,7 +111,7 @@ def type_class(value: Column) -> Column:
 def _leaf(c: Condition, parsed: Column) -> Column:
     if c.match is None and c.range is None:
         return F.lit(True)
-    value = F.try_variant_get(parsed, json_path(c.key), "variant")
+    value = field_of(parsed, c.key)
     kind, out = type_class(value), F.lit(True)
     if c.match is not None:
         out = out & _matches(c.match, value, kind)
@@ -121,12 +128,37 @@ def _matches(want: Any, value: Column, kind: Column) -> Column:
     if isinstance(want, bool):
         return (kind == "boolean") & (F.try_variant_get(value, "$", "boolean") == want)
     if isinstance(want, int):
+        if not -(1 << 63) <= want < 1 << 64:  # stored numbers beyond 64 bits are floats, which no integer matches
+            return F.lit(False)
         return (kind == "int") & (F.try_variant_get(value, "$", "decimal(20,0)") == F.lit(str(want)).cast("decimal(20,0)"))
     if isinstance(want, float):
         return (kind == "float") & (F.try_variant_get(value, "$", "double") == want)
     if isinstance(want, str):
         return (kind == "string") & (F.try_variant_get(value, "$", "string") == want)
-    return kind.isin("array", "object") & (F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(want)))))
+    return kind.isin("array", "object") & _same_json(want, value)
+
+
+def _same_json(want: Any, value: Column) -> Column:
+    """Equality of nested values, numbers by type: 3 isn't 3.0 at any depth. Object keys may come in any order."""
+    given = F.parse_json(F.lit(json.dumps(want)))
+    if isinstance(want, Mapping):
+        parts = F.try_variant_get(value, "$", "map<string,variant>")
+        out = F.coalesce(F.size(F.map_keys(parts)) == len(want), F.lit(False))
+        for key, part in want.items():
+            out = out & F.coalesce(_same_part(part, field_of(value, str(key))), F.lit(False))
+        return out
+    if isinstance(want, list | tuple):
+        parts = F.try_variant_get(value, "$", "array<variant>")
+        out = F.coalesce(F.size(parts) == len(want), F.lit(False))
+        for k, part in enumerate(want):
+            out = out & F.coalesce(_same_part(part, F.get(parts, F.lit(k))), F.lit(False))
+        return out
+    return F.to_json(value) == F.to_json(given)
+
+
+def _same_part(want: Any, value: Column) -> Column:
+    kind = type_class(value)
+    return kind == "null" if want is None else _matches(want, value, kind)
 
 
 def parse_conditions(rows: Sequence[tuple[str, str, str]]) -> Filter:

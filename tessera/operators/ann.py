@@ -5,14 +5,15 @@ Used only when its measured recall passes a gate; otherwise, and when a filter l
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.filters import Filter
-from tessera.functions.vectors import Metric
+from tessera.functions.vectors import Metric, order
 from tessera.operators.search import batch_top_k, top_k
 
 
@@ -53,19 +54,32 @@ class IvfIndex:
     def approximate(self, query: Sequence[float], k: int, where: Filter | Column | None = None) -> DataFrame:
         return top_k(self.rows.where(F.col("cell").isin(self.near_cells(query))), query, k, self.metric, where)
 
+    def _places(self, queries: DataFrame) -> DataFrame:
+        """query_id, vector, cell, place: each query's cells, nearest centre (place 0) first."""
+        centres, squares = self.centres, (self.centres**2).sum(1)
+
+        def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if f.empty:
+                    continue
+                v = np.array(f["vector"].tolist(), float)
+                near = np.argsort(squares - 2 * v @ centres.T, axis=1, kind="stable")
+                n = near.shape[1]
+                at = np.repeat(np.arange(len(f)), n)
+                yield pd.DataFrame({"query_id": f["query_id"].to_numpy()[at], "vector": f["vector"].to_numpy()[at], "cell": near.ravel(), "place": np.tile(np.arange(n), len(f))})
+
+        return queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").mapInPandas(order, "query_id long, vector array<float>, cell int, place int")
+
     def measure(self, queries: DataFrame, k: int = 10, gate: float | None = None) -> float:
-        """recall@k over a stated (small) query set, against brute force; with a gate, by the fewest probes that reach it.
+        """recall@k over a query set, against brute force; with a gate, by the fewest probes that reach it.
 
         Probed cells are scanned exactly, so a true neighbour is found if and only if its cell is probed: the places
         of the true neighbours' cells in each query's order give the recall of every number of probes at once.
         """
-        spark = queries.sparkSession
         truth = batch_top_k(self.rows.select("id", "vector"), queries, k, self.metric).select("query_id", "id")
-        places = [(q["query_id"], c, i) for q in queries.select("query_id", "vector").collect() for i, c in enumerate(self.ordered_cells(q["vector"]))]
-        table = F.broadcast(spark.createDataFrame(places, "query_id long, cell int, place int"))  # queries times cells
-        held = truth.join(self.rows.select("id", "cell"), "id").join(table, ["query_id", "cell"]).groupBy("place").count().collect()
+        near = truth.join(self.rows.select("id", "cell"), "id").join(self._places(queries).drop("vector"), ["query_id", "cell"])
         counts = np.zeros(len(self.centres))
-        for r in held:
+        for r in near.groupBy("place").count().collect():  # a row a cell at most
             counts[r["place"]] = r["count"]
         recalls = np.cumsum(counts) / counts.sum() if counts.sum() else np.ones(len(counts))
         if gate is not None:
@@ -74,7 +88,34 @@ class IvfIndex:
         return self.recall
 
     def search(self, query: Sequence[float], k: int, where: Filter | Column | None = None, exact: bool = False, gate: float = 0.95) -> DataFrame:
+        """The approximate hits where the measured recall passes the gate; the exact ones otherwise, or where a filter leaves fewer than k."""
         if exact or self.recall is None or self.recall < gate:
             return top_k(self.rows, query, k, self.metric, where)
         hits = self.approximate(query, k, where)
-        return top_k(self.rows, query, k, self.metric, where) if where is not None and hits.count() < k else hits
+        if where is None:
+            return hits
+        found = hits.collect()  # k rows
+        if len(found) < k:
+            return top_k(self.rows, query, k, self.metric, where)
+        return hits.sparkSession.createDataFrame(found, hits.schema)
+
+    def search_many(self, queries: DataFrame, k: int, part_rows: int = 100_000) -> DataFrame:
+        """(query_id, id, score, rank): queries and points meet by cell, large cells in parts; k rows a query and part are merged."""
+        sizes = self.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))  # a row a cell
+        points = self.rows.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").cast("long").alias("id"), "vector")
+        asked = self._places(queries).where(F.col("place") < self.probes).join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "vector")
+        euclidean = self.metric is Metric.EUCLIDEAN
+
+        def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(q) and len(p):
+                v, ids = np.array(p["vector"].tolist(), float), p["id"].to_numpy()
+                for i, x in zip(q["query_id"], q["vector"], strict=True):
+                    bad = ((v - np.asarray(x, float)) ** 2).sum(1) if euclidean else -(v @ np.asarray(x, float))
+                    near = np.lexsort((ids, bad))[:k]
+                    out.append(pd.DataFrame({"query_id": i, "id": ids[near], "score": bad[near] if euclidean else -bad[near]}))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+        hits = asked.groupBy("cell", "part").cogroup(points.groupBy("cell", "part")).applyInPandas(best, "query_id long, id long, score double")
+        ranked = Window.partitionBy("query_id").orderBy(*order(self.metric))
+        return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

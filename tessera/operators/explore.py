@@ -44,9 +44,16 @@ def colour_codes(points: DataFrame, key: str, payload: str = "payload") -> DataF
     kinds = rows.groupBy("value").agg(F.first("number").alias("number"))  # distinct values
     stats = kinds.agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.count(F.lit(1)).alias("n"), F.count("number").alias("numeric"))
     ramp = (F.col("numeric") == F.col("n")) & (F.col("n") > 8) & (F.col("hi") > F.col("lo"))
-    codes = kinds.select("value", F.dense_rank().over(Window.orderBy("value")).alias("code"))
-    out = rows.join(codes, "value").join(F.broadcast(stats))  # stats is one row
-    return out.select("id", F.when(ramp, "ramp").otherwise("code").alias("kind"), F.when(ramp, (F.col("number") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("code") - 1.0).alias("position"))
+    whole = F.broadcast(stats.select("lo", "hi", ramp.alias("ramp")))  # one row
+    position = (F.col("number") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    ramps = rows.join(whole).where("ramp").select("id", F.lit("ramp").alias("kind"), position.alias("position"))
+    # codes: the values of a ramp are dropped before they are ranked; ranks are counted by ranges of values
+    named = kinds.select("value").join(whole).where("NOT ramp").select("value")
+    ranges = named.withColumn("cell", F.substring("value", 1, 3))
+    counts = ranges.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(F.col("cell").alias("cell2"), F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    codes = ranges.join(starts, F.col("cell") == F.col("cell2")).select(F.col("value").alias("named"), (F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("value")) - 1.0).alias("position"))
+    return ramps.unionByName(rows.join(codes, F.col("value") == F.col("named")).select("id", F.lit("code").alias("kind"), "position"))
 
 
 def bounds(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -67,9 +74,9 @@ def layout(points: DataFrame, x: str = "x", y: str = "y", pad: float = 0.06) ->
 
 def score_bars(hits: DataFrame) -> DataFrame:
     """Adds `bar`, the score scaled to 0..1 within the result list (at most k rows)."""
-    lo, hi = hits.agg(F.min("score"), F.max("score")).first()
-    flat = lo is None or hi == lo
-    return hits.withColumn("bar", F.lit(1.0) if flat else (F.col("score") - lo) / (hi - lo))
+    every = Window.partitionBy(F.lit(0))  # a result list is k rows
+    lo, wide = F.min("score").over(every), F.max("score").over(every) - F.min("score").over(every)
+    return hits.withColumn("bar", F.when(wide > 0, (F.col("score") - lo) / wide).otherwise(1.0))
 
 
 def pca_2d(points: DataFrame, rows: int | None = None) -> DataFrame:

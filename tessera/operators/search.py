@@ -14,7 +14,9 @@ from tessera.functions.vectors import Metric, order, q8_badness, q8_encode, q8_s
 from tessera.sources.ship import ship_package
 
 #: Query vectors sent to the tasks at once; larger query sets go in blocks of this many bytes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Entries of the largest matrix of scores in a task (16 MB): queries are scored against a batch in tiles.
+TILE = 2 << 20
 
 
 def top_k(points: DataFrame, query: Sequence[float], k: int, metric: Metric | str = "cosine", where: Filter | Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -80,12 +82,15 @@ def batch_top_k(points: DataFrame, queries: DataFrame, k: int, metric: Metric |
                     continue
                 v = _matrix(batch.column("vector"), m.shape[1])
                 point = batch.column("id").to_numpy()
-                s = v @ m.T
-                bad = (v * v).sum(1)[:, None] + squares - 2 * s if metric is Metric.EUCLIDEAN else -s
-                bad = bad.T
-                if exclude_self:
-                    bad = np.where(query_ids[:, None] == point[None, :], np.inf, bad)
-                held.append(_least(np.broadcast_to(point, bad.shape), bad, k))
+                own = (v * v).sum(1)
+                tiles, step = [], max(1, TILE // len(point))
+                for t in range(0, len(query_ids), step):
+                    bad = m[t : t + step] @ v.T
+                    bad = squares[t : t + step, None] + own - 2 * bad if metric is Metric.EUCLIDEAN else -bad
+                    if exclude_self:
+                        bad[query_ids[t : t + step, None] == point[None, :]] = np.inf
+                    tiles.append(_least(np.broadcast_to(point, bad.shape), bad, k))
+                held.append(tuple(np.concatenate(x) for x in zip(*tiles, strict=True)))
                 if len(held) > 8:
                     held = [_least(*(np.concatenate(x, 1) for x in zip(*held, strict=True)), k)]
             if held:

@@ -3,19 +3,24 @@
     <root>/config.json                        name, dim, metric, policies (written once)
     <root>/segments/<name>/part-*.parquet     id, vector, payload, sorted by id
     <root>/tombstones/<name>/part-*.parquet   id
+    <root>/_heads/<number>.json               the state: working segments and tombstones, next id, tags, branches, newest manifest
     <root>/_manifests/<version>.json          one per commit
-    <root>/_head.json                         head version, working segments and tombstones, next id, last batch
 
-A write becomes visible by one replacement of _head.json, so a batch is all or nothing. Row data moves as
-DataFrames only; the driver handles names and numbers. One writer at a time.
+The state is the head of the highest number. A write becomes visible when the next number is created, which only one
+writer can do: a batch is all or nothing, a commit and its tag too, and a writer that was overtaken starts again on
+the new state (`retries` times, then Conflict). A crash at any step leaves the last head in force; a manifest whose file
+was not written yet stands in the head, and the next writer writes it. Folders that no head names are never read.
+Row data moves as DataFrames only; the driver handles names and numbers.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 import tarfile
+import threading
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -25,8 +30,8 @@ from pyspark.sql import functions as F
 from tessera.functions.filters import Filter
 from tessera.functions.vectors import Metric, finite, l2_normalize
 from tessera.operators import compose, search
-from tessera.plans.policy import Clock, CommitTrigger, Compaction, CompactionTrigger, Versioning, system_clock
-from tessera.plans.versions import At, Manifest, Retention, Segment, VersionLog, gc_plan
+from tessera.plans.policy import Clock, Compaction, Versioning, compaction_due, pending_after_commit, system_clock
+from tessera.plans.versions import At, Manifest, Refs, Retention, Segment, VersionLog, gc_plan
 from tessera.sources.fs import Files
 
 SCHEMA = "id long, vector array<float>, payload string"
@@ -44,6 +49,14 @@ class NotFound(LookupError):
     """No such collection."""
 
 
+class Conflict(RuntimeError):
+    """Another writer published a head first."""
+
+
+#: Heads that stay behind the newest one, for readers that have listed them.
+OLD_HEADS = 20
+
+
 @dataclass(frozen=True)
 class Config:
     name: str
@@ -64,6 +77,17 @@ class Head:
     last_batch: int | None = None
     pending: int = 0
     last_commit_ms: int = -1
+    last_compact_ms: int = -1
+    number: int = 0
+    tags: dict[str, int] = field(default_factory=dict)
+    branches: dict[str, int] = field(default_factory=dict)
+    manifest: Manifest | None = None
+    dropped: list[str] = field(default_factory=list)  # folders that no working state needs; old versions may
+    index: dict[str, Any] | None = None
+
+    @property
+    def refs(self) -> Refs:
+        return Refs(self.tags, self.branches)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -71,7 +95,8 @@ class Head:
     @classmethod
     def from_json(cls, text: str) -> Head:
         d = json.loads(text)
-        return cls(**d | {k: [Segment(**s) for s in d[k]] for k in ("segments", "staged")})
+        manifest = d["manifest"] and Manifest.from_json(json.dumps(d["manifest"]))
+        return cls(**d | {k: [Segment(**s) for s in d[k]] for k in ("segments", "staged")} | {"manifest": manifest})
 
 
 @dataclass(frozen=True)
@@ -89,15 +114,14 @@ class WriteResult:
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, root: str, clock: Clock = system_clock):
-        self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
+    def __init__(self, spark: SparkSession, root: str, clock: Clock = system_clock, retries: int = 3):
+        self.spark, self.root, self.clock, self.retries = spark, root.rstrip("/"), clock, retries
         self.files = Files(spark)
         if not self.files.exists(f"{self.root}/config.json"):
             raise NotFound(root)
         d = json.loads(self.files.read(f"{self.root}/config.json"))
         self.config = Config(d["name"], d["dim"], Metric.parse(d["metric"]), Versioning(**d["versioning"]), Compaction(**d["compaction"]))
         self.log = VersionLog(self.files, self.root)
-        self.compaction = CompactionTrigger(self.config.compaction, clock)
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, name: str, dim: int, metric: Metric | str = "cosine", versioning: Versioning | None = None, compaction: Compaction | None = None, clock: Clock = system_clock) -> Collection:
@@ -109,16 +133,43 @@ class Collection:
             files.create(f"{root.rstrip('/')}/config.json", json.dumps(asdict(config) | {"metric": config.metric.value}))
         except FileExistsError:
             raise AlreadyExists(name) from None
-        files.replace(f"{root.rstrip('/')}/_head.json", Head(last_commit_ms=clock()).to_json())
         return cls(spark, root, clock)
 
     # --- state
 
-    def head(self) -> Head:
-        return Head.from_json(self.files.read(f"{self.root}/_head.json"))
+    def _head_file(self, number: int) -> str:
+        return f"{self.root}/_heads/{number:020d}.json"
 
-    def _save(self, head: Head) -> None:
-        self.files.replace(f"{self.root}/_head.json", head.to_json())
+    def head(self) -> Head:
+        names = [n for n in self.files.names(f"{self.root}/_heads") if n.endswith(".json")]
+        if names:
+            return Head.from_json(self.files.read(f"{self.root}/_heads/{names[-1]}"))
+        created = self.files.modified(f"{self.root}/config.json") if self.clock is system_clock else self.clock()
+        return Head(last_commit_ms=created, last_compact_ms=created)
+
+    def _change(self, change: Callable[[Head], Any]) -> Any:
+        """Apply a change to the newest head and publish it; anew on the new head when another writer was first."""
+        for left in range(self.retries, -1, -1):
+            before = self.head()
+            self.log.keep(before.manifest)
+            head = copy.deepcopy(before)
+            out = change(head)
+            if head == before:
+                return out
+            head.number = before.number + 1
+            try:
+                self.files.create(self._head_file(head.number), head.to_json())
+            except FileExistsError:
+                names = lambda h: {f"segments/{s.name}" for s in h.segments + h.staged} | {f"tombstones/{t}" for t in h.tombstones}
+                for name in names(head) - names(before):
+                    self.files.delete(f"{self.root}/{name}")
+                if not left:
+                    raise Conflict(f"another writer published head {head.number} of {self.config.name}") from None
+                continue
+            self.log.keep(head.manifest)
+            self.files.delete(self._head_file(head.number - OLD_HEADS))
+            return out
+        raise AssertionError("unreachable")
 
     @property
     def head_version(self) -> int | None:
@@ -146,7 +197,7 @@ class Collection:
         head = self.head()
         if at is None:
             return self._live(head.segments + head.staged, head.tombstones)
-        m = self.log.resolve(at, head.version)
+        m = self.log.resolve(at, head.version, head.refs, head.manifest)
         return self._live(m.segments, m.tombstones)
 
     def count(self, at: At | None = None) -> int:
@@ -165,8 +216,9 @@ class Collection:
         where = where if isinstance(where, Column) else Filter.parse(where)
         return search.top_k(self.read(at), query, k, self.config.metric, where, ("payload",) if payloads else ())
 
-    def search_many(self, queries: DataFrame, k: int = 10, at: At | None = None) -> DataFrame:
-        return search.batch_top_k(self.read(at), queries, k, self.config.metric)
+    def search_many(self, queries: DataFrame, k: int = 10, at: At | None = None, where: Filter | Column | str | Mapping | None = None) -> DataFrame:
+        where = where if isinstance(where, Column) else Filter.parse(where)
+        return search.batch_top_k(search.admit(self.read(at), where), queries, k, self.config.metric)
 
     def recommend(self, positive: Sequence[int], negative: Sequence[int] = (), k: int = 10, where: Filter | str | Mapping | None = None, payloads: bool = False, deleted_examples: bool = True) -> DataFrame:
         """Deleted points still serve as examples unless told otherwise."""
@@ -221,7 +273,12 @@ class Collection:
 
     def _delete(self, head: Head, ids: DataFrame) -> int:
         """Add tombstones for those ids that exist and are live; how many that are."""
-        existing = self._live(head.segments + head.staged, head.tombstones).select("id")
+        low, high = ids.agg(F.min(F.col("id").cast("long")), F.max(F.col("id").cast("long"))).first()
+        if low is None:
+            return 0
+        # only segments that can hold such ids, and of them only row groups that do (rows are in order of id)
+        near = [s for s in head.segments + head.staged if s.id_lo <= high and s.id_hi >= low]
+        existing = self._live(near, head.tombstones).where(F.col("id").between(low, high)).select("id")
         fresh = existing.join(ids.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
         name = f"del-{uuid.uuid4().hex}"
         path = f"{self.root}/tombstones/{name}"
@@ -246,33 +303,66 @@ class Collection:
 
     def write_batch(self, points: DataFrame | Iterable | None = None, deletes: DataFrame | Iterable[int] = (), commit: bool = False, message: str | None = None, tag: str | None = None, batch_id: int | None = None) -> WriteResult:
         """Deletes, then inserts, visible at once; optionally committed. A batch_id not above the last one is skipped."""
-        head = self.head()
-        if batch_id is not None and head.last_batch is not None and batch_id <= head.last_batch:
-            return WriteResult(head.next_id, 0, 0, None)
-        deleted = 0
-        if isinstance(deletes, DataFrame) or (deletes := list(deletes)):
-            ids = deletes if isinstance(deletes, DataFrame) else self.spark.createDataFrame([(int(i),) for i in deletes], "id long")
-            deleted = self._delete(head, ids)
-        first, n = head.next_id, 0
-        if points is not None:
-            frame = points if isinstance(points, DataFrame) else self.points(points)
-            if segment := self._stage(frame, first):
-                n = segment.count
-                head.staged.append(segment)
-                head.next_id += n
+        if not isinstance(deletes, DataFrame):
+            deletes = list(deletes)
+        frame = points if points is None or isinstance(points, DataFrame) else self.points(points)
+
+        def change(head: Head) -> WriteResult:
+            if batch_id is not None and head.last_batch is not None and batch_id <= head.last_batch:
+                return WriteResult(head.next_id, 0, 0, None)
+            deleted = 0
+            if isinstance(deletes, DataFrame) or deletes:
+                deleted = self._delete(head, deletes if isinstance(deletes, DataFrame) else self.spark.createDataFrame([(int(i),) for i in deletes], "id long"))
+            first = head.next_id
+            segment = self._stage(frame, first) if frame is not None else None
+            return self._written(head, first, segment, deleted, commit, message, tag, batch_id)
+
+        return self._change(change)
+
+    def _written(self, head: Head, first: int, segment: Segment | None, deleted: int, commit: bool, message: str | None, tag: str | None, batch_id: int | None) -> WriteResult:
+        """Take a staged segment into the head; commit if asked to or due."""
+        n = segment.count if segment else 0
+        if segment:
+            head.staged.append(segment)
+            head.next_id = max(head.next_id, segment.id_hi + 1)
         head.last_batch = batch_id if batch_id is not None else head.last_batch
-        trigger = CommitTrigger(self.config.versioning, self.clock, head.pending, head.last_commit_ms)
-        trigger.record(n)
+        head.pending += n
+        rest = pending_after_commit(self.config.versioning, head.pending, self.clock() - head.last_commit_ms) if n or deleted else None
         version = None
-        if commit or (n or deleted) and trigger.due():
-            trigger.committed()
+        if commit or rest is not None:
+            quota = self.config.versioning.every_n_writes
+            head.pending = head.pending - quota if quota is not None and head.pending >= quota else 0
+            head.last_commit_ms = self.clock()
             version = self._commit(head, "batch" if commit else "auto", message if commit else None)
-        head.pending, head.last_commit_ms = trigger.pending, trigger.last_ms
-        self._save(head)
-        if version is not None and tag:
-            self.log.set_ref("tags", tag, version)
+            if tag:
+                head.tags[tag] = version
         return WriteResult(first, n, deleted, version)
 
+    def insert_with_ids(self, points: DataFrame) -> WriteResult:
+        """Insert rows (id, vector[, payload]) under given ids, none below the next free one; later ids follow the largest."""
+        payload = F.col("payload").cast("string") if "payload" in points.columns else F.lit(None).cast("string")
+        vector = F.col("vector").cast("array<float>")
+        stored = l2_normalize("vector") if self.config.metric.normalises else F.col("vector")
+        rows = points.select(F.col("id").cast("long").alias("id"), vector.alias("vector"), payload.alias("payload"))
+
+        def change(head: Head) -> WriteResult:
+            name = f"seg-{uuid.uuid4().hex}"
+            path = f"{self.root}/segments/{name}"
+            good = F.when((F.size("vector") == self.config.dim) & finite("vector"), stored)
+            rows.select("id", good.alias("vector"), "payload").repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
+            made = self.spark.read.schema(SCHEMA).parquet(path)
+            lo, hi, n, kinds, whole = made.agg(F.min("id"), F.max("id"), F.count(F.lit(1)), F.count_distinct("id"), F.count("vector")).first()
+            fault = "ids must be given once each" if kinds < n else f"ids below {head.next_id} are taken" if n and lo < head.next_id else ""
+            if fault or not n or whole < n:
+                self.files.delete(path)
+            if n and whole < n:
+                raise DimensionMismatch(f"vectors must have {self.config.dim} finite components")
+            if fault:
+                raise ValueError(fault)
+            return self._written(head, lo or 0, Segment(name, lo, hi, n) if n else None, 0, False, None, None, None)
+
+        return self._change(change)
+
     def delete(self, point_id: int) -> bool:
         """False if unknown or already deleted."""
         return self.write_batch(deletes=[point_id]).deleted > 0
@@ -283,45 +373,49 @@ class Collection:
         head.segments += head.staged
         head.staged = []
         version = head.next_version
-        self.log.add(Manifest(version, head.version, self.clock(), trigger, message, tuple(head.segments), tuple(head.tombstones), head.next_id))
+        head.manifest = Manifest(version, head.version, self.clock(), trigger, message, tuple(head.segments), tuple(head.tombstones), head.next_id)
         head.version, head.next_version = version, version + 1
         return version
 
     def commit(self, message: str | None = None, tag: str | None = None, trigger: str = "manual") -> int:
-        head = self.head()
-        version = self._commit(head, trigger, message)
-        self._save(head)
-        if tag:
-            self.log.set_ref("tags", tag, version)
-        return version
+        def change(head: Head) -> int:
+            version = self._commit(head, trigger, message)
+            if tag:
+                head.tags[tag] = version
+            return version
+
+        return self._change(change)
 
     def restore(self, version: int) -> int:
         """A new version with an old one's rows; uncommitted writes are dropped."""
-        m = self.log.get(version)
-        head = self.head()
-        head.segments, head.staged, head.tombstones = list(m.segments), [], list(m.tombstones)
-        out = self._commit(head, "restore", f"restore of v{version}")
-        self._save(head)
-        return out
+
+        def change(head: Head) -> int:
+            m = self.log.get(version, head.manifest)
+            head.segments, head.staged, head.tombstones = list(m.segments), [], list(m.tombstones)
+            return self._commit(head, "restore", f"restore of v{version}")
+
+        return self._change(change)
 
     def tag(self, name: str, version: int) -> None:
-        self.log.set_ref("tags", name, version)
+        self._change(lambda head: head.tags.update({name: self.log.get(version, head.manifest).version}))
 
     def branch(self, name: str, version: int) -> None:
         """A named pointer; commits never move it."""
-        self.log.set_ref("branches", name, version)
+        self._change(lambda head: head.branches.update({name: self.log.get(version, head.manifest).version}))
 
     def versions(self) -> DataFrame:
         """Oldest first: version, parent, created_at_ms, trigger, message, n_segments, tags."""
+        head = self.head()
         tags: dict[int, list[str]] = {}
-        for name, v in self.log.refs().tags.items():
+        for name, v in head.tags.items():
             tags.setdefault(v, []).append(name)
-        rows = [(m.version, m.parent, m.created_at_ms, m.trigger, m.message, len(m.segments), sorted(tags.get(m.version, []))) for m in self.log.list()]
+        rows = [(m.version, m.parent, m.created_at_ms, m.trigger, m.message, len(m.segments), sorted(tags.get(m.version, []))) for m in self.log.list(head.manifest)]
         return self.spark.createDataFrame(rows, "version long, parent long, created_at_ms long, trigger string, message string, n_segments int, tags array<string>").orderBy("version")
 
     def diff(self, from_version: int, to_version: int) -> DataFrame:
         """(id, change): ids added or removed. Segments in both versions are read only for what the tombstones differ in."""
-        a, b = self.log.get(from_version), self.log.get(to_version)
+        newest = self.head().manifest
+        a, b = self.log.get(from_version, newest), self.log.get(to_version, newest)
         shared = {s.name for s in a.segments} & {s.name for s in b.segments}
         own = lambda m: self._live([s for s in m.segments if s.name not in shared], m.tombstones).select("id")
         both = self._rows([s for s in a.segments if s.name in shared]).select("id")
@@ -337,51 +431,109 @@ class Collection:
     def compact(self, purge: bool = False) -> Segment | None:
         """Merge the working segments into one, sorted by id; None with fewer than two. Old versions keep theirs.
 
-        purge: leave out tombstoned rows, if no committed version would lose them.
+        purge: leave out tombstoned rows; the working tombstones then hide nothing and are dropped too.
         """
-        head = self.head()
-        working = head.segments + head.staged
-        if len(working) < 2:
-            return None
-        name = f"seg-{uuid.uuid4().hex}"
-        rows = self._live(working, head.tombstones) if purge else self._rows(working)
-        # no fixed count: adaptive execution merges small ranges, and a large collection isn't squeezed into few tasks
-        rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.root}/segments/{name}")
-        lo, hi, n = self._rows([Segment(name, 0, 0, 0)]).agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-        merged = Segment(name, lo if lo is not None else 0, hi if hi is not None else 0, n)
-        head.segments, head.staged = [merged], []
-        self._save(head)
-        return merged
+
+        def change(head: Head) -> Segment | None:
+            working = head.segments + head.staged
+            if len(working) < 2:
+                return None
+            name = f"seg-{uuid.uuid4().hex}"
+            rows = self._live(working, head.tombstones) if purge else self._rows(working)
+            # no fixed count: adaptive execution merges small ranges, and a large collection isn't squeezed into few tasks
+            rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.root}/segments/{name}")
+            lo, hi, n = self._rows([Segment(name, 0, 0, 0)]).agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+            merged = Segment(name, lo if lo is not None else 0, hi if hi is not None else 0, n)
+            head.dropped += [f"segments/{s.name}" for s in working] + ([f"tombstones/{t}" for t in head.tombstones] if purge else [])
+            head.segments, head.staged, head.tombstones = [merged], [], [] if purge else head.tombstones
+            head.last_compact_ms = self.clock()
+            return merged
+
+        return self._change(change)
 
     def maintain(self) -> Segment | None:
         """Compact if the policy says so."""
         head = self.head()
-        if not self.compaction.due(len(head.segments) + len(head.staged)):
-            return None
-        self.compaction.compacted()
-        return self.compact()
+        return self.compact() if compaction_due(self.config.compaction, len(head.segments) + len(head.staged), self.clock() - head.last_compact_ms) else None
+
+    def maintenance_loop(self, seconds: float, stop: threading.Event) -> threading.Thread:
+        """A thread that calls maintain every so many seconds until `stop` is set; a conflict waits for the next turn."""
+
+        def run() -> None:
+            while not stop.wait(seconds):
+                try:
+                    self.maintain()
+                except Conflict:
+                    continue
+
+        thread = threading.Thread(target=run, name=f"maintain-{self.config.name}", daemon=True)
+        thread.start()
+        return thread
 
     def gc(self, rules: Retention) -> tuple[list[int], list[str]]:
-        """Remove versions the rules don't retain and the segments only they used."""
-        head = self.head()
-        versions, orphans = gc_plan(self.log.list(), self.log.refs(), head.version, rules, {s.name for s in head.segments + head.staged})
+        """Remove versions the rules don't retain, and the segments and tombstones that nothing else needs.
+
+        What is to go is named in a head first, so that a crash on the way leaves the rest to the next call.
+        """
+
+        def plan(head: Head) -> tuple[list[int], list[str]]:
+            history = self.log.list(head.manifest)
+            versions, orphans = gc_plan(history, head.refs, head.version, rules, {s.name for s in head.segments + head.staged})
+            gone = [m for m in history if m.version in versions]
+            held = {f for m in history if m.version not in versions for f in _folders(m.segments, m.tombstones)} | set(_folders(head.segments + head.staged, head.tombstones))
+            named = {*head.dropped, *(f for m in gone for f in _folders(m.segments, m.tombstones))}
+            head.dropped = sorted(named)
+            self._doomed = sorted(named - held)
+            return versions, orphans
+
+        versions, orphans = self._change(plan)
         for v in versions:
             self.log.remove(v)
-        for name in orphans:
-            self.files.delete(f"{self.root}/segments/{name}")
+        doomed = self._doomed
+        for f in doomed:
+            self.files.delete(f"{self.root}/{f}")
+        self._change(lambda head: setattr(head, "dropped", [f for f in head.dropped if f not in set(doomed)]))
         return versions, orphans
 
     def export(self, path: str) -> None:
-        """A tar file of the collection (both on local disk)."""
-        with tarfile.open(path, "w") as t:
-            t.add(self.root.removeprefix("file://"), arcname=".")
+        """A copy of the collection: a folder on any file system, or, for a path that ends in .tar, a tar file (both on local disk)."""
+        if path.endswith(".tar"):
+            with tarfile.open(path, "w") as t:
+                t.add(self.root.removeprefix("file://"), arcname=".")
+            return
+        head = self.head()
+        _copy(self.spark, self.files, self.root, path.rstrip("/"), head, self.log.list(head.manifest))
+
+
+def _folders(segments: Iterable[Segment], tombstones: Iterable[str]) -> list[str]:
+    return [*(f"segments/{s.name}" for s in segments), *(f"tombstones/{t}" for t in tombstones)]
+
+
+def _copy(spark: SparkSession, files: Files, source: str, target: str, head: Head, history: Sequence[Manifest]) -> None:
+    """Rows are copied by Spark jobs, folder by folder; the head comes last, so an interrupted copy is no collection."""
+    if files.exists(f"{target}/config.json"):
+        raise AlreadyExists(target)
+    folders = {f for m in history for f in _folders(m.segments, m.tombstones)} | set(_folders(head.segments + head.staged, head.tombstones))
+    for f in sorted(folders):
+        schema = SCHEMA if f.startswith("segments/") else "id long"
+        spark.read.schema(schema).parquet(f"{source}/{f}").write.mode("overwrite").parquet(f"{target}/{f}")
+    log = VersionLog(files, target)
+    for m in history:
+        log.keep(m)
+    files.create(f"{target}/_heads/{head.number:020d}.json", head.to_json())
+    files.create(f"{target}/config.json", files.read(f"{source}/config.json"))
 
 
 def import_collection(spark: SparkSession, path: str, root: str) -> Collection:
-    """Unpack an exported tar into a new folder and open it."""
-    target = root.removeprefix("file://")
-    if Files(spark).exists(f"{root.rstrip('/')}/config.json"):
+    """Copy an exported folder, or unpack an exported tar, into a new folder and open it."""
+    files = Files(spark)
+    if files.exists(f"{root.rstrip('/')}/config.json"):
         raise AlreadyExists(root)
-    with tarfile.open(path) as t:
-        t.extractall(target, filter="data")
+    if path.endswith(".tar"):
+        with tarfile.open(path) as t:
+            t.extractall(root.removeprefix("file://"), filter="data")
+    else:
+        other = Collection(spark, path)
+        head = other.head()
+        _copy(spark, files, other.root, root.rstrip("/"), head, other.log.list(head.manifest))
     return Collection(spark, root)

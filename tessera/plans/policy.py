@@ -1,10 +1,10 @@
-"""Commit and compaction triggers, with an injected clock (milliseconds)."""
+"""When to commit and when to compact: pure rules over numbers that a collection's head keeps. Times are in milliseconds."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 Clock = Callable[[], int]
 
@@ -15,40 +15,22 @@ def system_clock() -> int:
 
 @dataclass(frozen=True)
 class Versioning:
-    """Commit by itself after so many inserted points, or so long after the last commit once a write comes; neither: only on request."""
+    """Commit by itself once so many inserted points are pending, or so long after the last commit when a write comes; neither: only on request."""
 
     every_n_writes: int | None = None
     interval_ms: int | None = None
 
-    @property
-    def automatic(self) -> bool:
-        return self.every_n_writes is not None or self.interval_ms is not None
 
+def pending_after_commit(policy: Versioning, pending: int, elapsed: int) -> int | None:
+    """What stays pending after the commit that is due now; None if none is due.
 
-@dataclass
-class CommitTrigger:
-    policy: Versioning
-    clock: Clock = system_clock
-    pending: int = 0
-    last_ms: int = field(default=-1)
-
-    def __post_init__(self) -> None:
-        if self.last_ms < 0:
-            self.last_ms = self.clock()
-
-    def record(self, n: int) -> None:
-        self.pending += n
-
-    def due(self) -> bool:
-        by_count = self.policy.every_n_writes is not None and self.pending >= self.policy.every_n_writes
-        by_time = self.policy.interval_ms is not None and self.pending > 0 and self.clock() - self.last_ms >= self.policy.interval_ms
-        return by_count or by_time
-
-    def committed(self) -> None:
-        """An overshooting burst keeps what is over the count, so the next multiple fires on time."""
-        n = self.policy.every_n_writes
-        self.pending = self.pending - n if n is not None and self.pending >= n else 0
-        self.last_ms = self.clock()
+    Counting on from what is over the quota keeps later commits at its multiples; a commit by time starts anew.
+    """
+    quota = policy.every_n_writes
+    if quota is not None and pending >= quota:
+        return pending - quota
+    waited = policy.interval_ms is not None and elapsed >= policy.interval_ms
+    return 0 if pending and waited else None
 
 
 @dataclass(frozen=True)
@@ -66,24 +48,10 @@ class Compaction:
         return cls(n or None, s * 1000 or None)
 
 
-@dataclass
-class CompactionTrigger:
-    policy: Compaction
-    clock: Clock = system_clock
-    last_ms: int = field(default=-1)
-
-    def __post_init__(self) -> None:
-        if self.last_ms < 0:
-            self.last_ms = self.clock()
-
-    def due(self, segments: int) -> bool:
-        if segments <= 1:
-            return False
-        by_count = self.policy.max_segments is not None and segments >= self.policy.max_segments
-        return by_count or (self.policy.interval_ms is not None and self.clock() - self.last_ms >= self.policy.interval_ms)
-
-    def compacted(self) -> None:
-        self.last_ms = self.clock()
+def compaction_due(policy: Compaction, segments: int, elapsed: int) -> bool:
+    """Whether several segments have become too many, or have stood for too long."""
+    limits = ((policy.max_segments, segments), (policy.interval_ms, elapsed))
+    return segments > 1 and any(most is not None and now >= most for most, now in limits)
 
 
 def should_rebuild(deleted: int, total: int, ratio: float = 0.30) -> bool:

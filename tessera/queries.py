@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.functions.filters import Condition, Filter, Range, contains_text, parse_conditions
 from tessera.operators import ann, compose, explore, search
-from tessera.plans.collection import Collection
-from tessera.plans.policy import CommitTrigger, Versioning
+from tessera.plans.catalog import Catalog
+from tessera.plans.collection import Collection, import_collection
+from tessera.plans.policy import Compaction, Versioning, compaction_due, pending_after_commit, should_rebuild
+from tessera.sources.fs import shared_dir
 from tessera.plans.versions import At, Manifest, Refs, Retention, Segment, gc_plan, retained
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +70,7 @@ def rounded(hits: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder in the shared place for collections that a query builds."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tessera"
-    return f"{base.rstrip('/')}/collections/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/collections/{label}-{uuid.uuid4().hex}"
 
 
 #: SQL of the points; D is the double vector.
@@ -227,10 +228,10 @@ def l2_norm(spark, sf_dir):
 
 
 @register(f"""WITH {S}, n AS (SELECT id, d, sqrt(list_dot_product(d, d)) AS m FROM p)
-SELECT id, round((d[1] / m)::FLOAT::DOUBLE, 6) + 0.0 AS x0, round((d[64] / m)::FLOAT::DOUBLE, 6) + 0.0 AS x63 FROM n""")
+SELECT id, g.i - 1 AS place, round((d[g.i] / m)::FLOAT::DOUBLE, 5) + 0.0 AS x FROM n, range(1, 65) g(i)""")
 def l2_normalize(spark, sf_dir):
-    v = V.l2_normalize("vector")
-    return points(spark, sf_dir, True).select("id", *[(F.round(v[i].cast("double"), 6) + F.lit(0.0)).alias(f"x{i}") for i in (0, 63)])
+    rows = points(spark, sf_dir, True).select("id", F.posexplode(V.l2_normalize("vector")).alias("place", "x"))
+    return rows.select("id", F.col("place").cast("long").alias("place"), (F.round(F.col("x").cast("double"), 5) + F.lit(0.0)).alias("x"))
 
 
 @register(f"""WITH {S} SELECT a.id AS a_id, b.id AS b_id, round(list_dot_product(a.d, b.d), 6) + 0.0 AS dot,
@@ -252,12 +253,12 @@ Q8 = """s AS (SELECT max(list_max(list_transform(embedding, lambda x: abs(x::DOU
 c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS d, list_transform(embedding, lambda x: greatest(-127, least(127, round(x::DOUBLE / scale))))::INT[] AS codes FROM embeddings, s)"""
 
 
-@register(f"WITH {Q8} SELECT id, codes[1]::INT AS c0, codes[64]::INT AS c63, list_sum(codes)::BIGINT AS total FROM c")
+@register(f"WITH {Q8} SELECT id, g.i - 1 AS place, codes[g.i]::INT AS code FROM c, range(1, 65) g(i)")
 def q8_encode(spark, sf_dir):
     p = points(spark, sf_dir)
     scale = p.agg(V.q8_scale(p).alias("s")).first()[0]
-    codes = V.q8_encode("vector", scale)
-    return p.select("id", codes[0].cast("int").alias("c0"), codes[63].cast("int").alias("c63"), F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    rows = p.select("id", F.posexplode(V.q8_encode("vector", scale)).alias("place", "code"))
+    return rows.select("id", F.col("place").cast("long").alias("place"), F.col("code").cast("int").alias("code"))
 
 
 @register(f"""WITH {Q8}, q AS (SELECT d AS v, codes AS qc FROM c WHERE id = 0),
@@ -363,10 +364,13 @@ def _versioned(spark: SparkSession, sf_dir: str, label: str) -> Collection:
 
 
 def _view(df: DataFrame) -> DataFrame:
-    return df.select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("x0"), F.get_json_object("payload", "$.label").cast("int").alias("label"))
+    """Rows with every component, as text of its value in millionths."""
+    whole = F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")), " ")
+    return df.select("id", whole.alias("vector"), F.get_json_object("payload", "$.label").cast("int").alias("label"))
 
 
-_VIEW = "SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS x0, label FROM embeddings WHERE "
+_WHOLE = "array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ' ') AS vector"
+_VIEW = f"SELECT vec_id AS id, {_WHOLE}, label FROM embeddings WHERE "
 
 
 @register(_VIEW + "vec_id < 300")
@@ -434,11 +438,11 @@ def write_batch_result(spark, sf_dir):
     return spark.createDataFrame([(r.first_id, r.count, r.deleted, r.version)], "first_id long, n long, deleted long, version long")
 
 
-@register("SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids, round(sum(embedding[1]::DOUBLE), 4) AS x0, 1::INT AS segments FROM embeddings WHERE NOT (vec_id < 300 AND vec_id % 10 = 0) AND NOT (vec_id < 20 AND vec_id % 2 = 1)")
+@register(_VIEW.replace("label FROM", "label, 1::INT AS segments FROM") + "NOT (vec_id < 300 AND vec_id % 10 = 0) AND NOT (vec_id < 20 AND vec_id % 2 = 1)")
 def compaction_preserves(spark, sf_dir):
     c = _versioned(spark, sf_dir, "compaction_preserves")
     c.compact()
-    return c.read().agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.round(F.sum(F.get("vector", F.lit(0)).cast("double")), 4).alias("x0")).withColumn("segments", F.lit(len(c.head().segments)))
+    return _view(c.read()).withColumn("segments", F.lit(len(c.head().segments)))
 
 
 @register("SELECT 'embeddings' AS name, 64::INT AS dim, 'dot' AS metric, count(*) AS count, 1::BIGINT AS head_version FROM embeddings WHERE NOT (vec_id < 300 AND vec_id % 10 = 0) AND NOT (vec_id < 20 AND vec_id % 2 = 1)")
@@ -467,12 +471,11 @@ def orphan_segments(spark, sf_dir):
 
 @register("SELECT * FROM (VALUES (120::BIGINT), (210), (300)) v(total)")
 def auto_commit_points(spark, sf_dir):
-    t, out, total = CommitTrigger(Versioning(every_n_writes=100), lambda: 0), [], 0
+    out, total, pending = [], 0, 0
     for _ in range(10):
-        total += 30
-        t.record(30)
-        if t.due():
-            t.committed()
+        total, pending = total + 30, pending + 30
+        if (rest := pending_after_commit(Versioning(every_n_writes=100), pending, 0)) is not None:
+            pending = rest
             out.append((total,))
     return spark.createDataFrame(out, "total long")
 
@@ -516,12 +519,13 @@ def score_bars(spark, sf_dir):
 
 @register("SELECT 1.0::DOUBLE AS recall")
 def recall_at_k(spark, sf_dir):
+    """The hits of three segments, merged, against those of the whole table, for every id divisible by 50."""
     p = points(spark, sf_dir)
-    asked = p.where("id IN (0, 50, 100, 150, 200, 250, 300, 350, 400, 450)").select(F.col("id").alias("query_id"), F.col("vector").alias("w"))
-    a = search.batch_top_k(p, asked.withColumnRenamed("w", "vector"), 10, "dot")
-    scored = p.join(F.broadcast(asked)).select("query_id", "id", V.dot("vector", F.col("w")).alias("score"))  # ten stated queries
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*V.order("dot")))).where("r <= 10")
-    return compose.recall(best.select("query_id", "id"), a, 10)
+    asked = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    parts = [search.batch_top_k(p.where(f"id % 3 = {k}"), asked, 10, "dot") for k in range(3)]
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("rank")
+    best = merged.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*V.order("dot")))).where("r <= 10")
+    return compose.recall(search.batch_top_k(p, asked, 10, "dot").select("query_id", "id"), best, 10)
 
 
 @register("""WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events)
@@ -539,10 +543,12 @@ def pca_2d(spark, sf_dir):
 
 @register()
 def ann_ivf(spark, sf_dir):
+    """Every id divisible by 50 against all rows, by the fewest probes whose recall, measured on all of these, is 0.95."""
     p = points(spark, sf_dir)
-    index = ann.IvfIndex.build(p, 16, "dot", probes=4)
-    index.measure(p.where("id % 100 = 0 AND id < 2000").select(F.col("id").alias("query_id"), "vector"), gate=0.95)
-    return index.write(f"{scratch(spark, 'ann_ivf')}/rows").search(vector_of(p, 0), 10).withColumn("recall", F.lit(index.recall))
+    asked = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    index = ann.IvfIndex.build(p, 16, "dot", probes=4).write(f"{scratch(spark, 'ann_ivf')}/rows")
+    index.measure(asked, gate=0.95)
+    return index.search_many(asked, 10).withColumn("recall", F.lit(index.recall))
 
 
 @register("SELECT vec_id AS id, label FROM embeddings WHERE vec_id >= 5")
@@ -562,12 +568,12 @@ def streaming_ingest(spark, sf_dir):
     return c.read().select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"))
 
 
-@register("SELECT vec_id AS id, label FROM embeddings WHERE vec_id < 50")
+@register("SELECT vec_id AS id, label FROM embeddings")
 def jsonl_source(spark, sf_dir):
     from tessera.sources.points import read_jsonl
 
     root = scratch(spark, "jsonl_source")
-    p = points(spark, sf_dir).where("id < 50").orderBy("id").coalesce(1)
+    p = points(spark, sf_dir).orderBy("id")
     p.select(F.to_json(F.struct("vector", F.from_json("payload", "label int").alias("payload"))).alias("value")).write.text(f"{root}/in")
     c = Collection.create(spark, f"{root}/c", "j", 64, "cosine")
     c.upsert(read_jsonl(spark, f"{root}/in"))
@@ -586,3 +592,119 @@ def corpus_expansion(spark, sf_dir):
     corpus = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL AND source IS NOT NULL").select("text", F.col("source").alias("category"))
     more = expand_corpus(corpus, FRAMES, 3 * corpus.count())
     return more.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# --- catalog, copies, maintenance, file sources
+
+
+@register("SELECT name, dim, metric, n AS count FROM (VALUES ('a', 64, 'dot', (SELECT count(*) FROM embeddings WHERE vec_id < 100)), ('b', 3, 'cosine', 0)) v(name, dim, metric, n)")
+def catalog_list(spark, sf_dir):
+    """Three collections are made, one of them is dropped."""
+    cat = Catalog(spark, scratch(spark, "catalog_list"))
+    for name, dim, metric in (("b", 3, "cosine"), ("a", 64, "dot"), ("gone", 2, "dot")):
+        cat.create(name, dim, metric)
+    cat.open("a").upsert(points(spark, sf_dir).where("id < 100"))
+    cat.drop("gone")
+    return cat.list().select("name", "dim", "metric", "count")
+
+
+@register(_VIEW + "vec_id < 300")
+def export_import(spark, sf_dir):
+    c = _versioned(spark, sf_dir, "export_import")
+    path = scratch(spark, "exported")
+    c.export(path)
+    return _view(import_collection(spark, path, f"{path}-copy").read(At(tag="base")))
+
+
+@register("SELECT vec_id AS id, label FROM embeddings WHERE vec_id <> 7")
+def delete_point(spark, sf_dir):
+    """A point is deleted; deleting it again, or one that never was, changes nothing."""
+    c = Collection.create(spark, scratch(spark, "delete_point"), "d", 64, "dot")
+    c.upsert(points(spark, sf_dir).orderBy("id"))
+    if [c.delete(7), c.delete(7), c.delete(1 << 40)] != [True, False, False]:
+        raise AssertionError("wrong answers")
+    return c.read().select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"))
+
+
+@register("SELECT vec_id + 1000 AS id, label FROM embeddings UNION ALL SELECT max(vec_id) + 1001, -1 FROM embeddings")
+def insert_with_ids(spark, sf_dir):
+    """Given ids are kept, and the next free one follows the largest."""
+    c = Collection.create(spark, scratch(spark, "insert_with_ids"), "i", 64, "dot")
+    c.insert_with_ids(points(spark, sf_dir).select((F.col("id") + 1000).alias("id"), "vector", "payload"))
+    c.upsert([([1.0] * 64, {"label": -1})])
+    return c.read().select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"))
+
+
+@register(_VIEW + "NOT (vec_id < 300 AND vec_id % 10 = 0)")
+def recover_after_crash(spark, sf_dir):
+    """A commit whose process dies before the manifest's file is written, then another commit, then the older one is read."""
+    c = _versioned(spark, sf_dir, "recover_after_crash")
+    c.log.keep = lambda m: None
+    crashed = c.commit("the file of this manifest is never written")
+    again = Collection(spark, c.root)
+    again.commit("after the crash")
+    if [r.version for r in again.versions().collect()] != [0, 1, 2, 3] or again.count(At(version=crashed)) != again.count():
+        raise AssertionError("a version is lost")
+    return _view(again.read(At(branch="work")))
+
+
+@register("SELECT * FROM (VALUES ('before', 2::BIGINT), ('after', 0)) v(state, tombstones)")
+def purge_tombstones(spark, sf_dir):
+    """Compaction with purge leaves tombstones nothing to hide; gc removes their folders."""
+    c = _versioned(spark, sf_dir, "purge_tombstones")
+    folders = lambda: len(c.files.names(f"{c.root}/tombstones"))
+    before = folders()
+    c.compact(purge=True)
+    c.commit("purged")
+    c.gc(Retention(1, False, False))
+    return spark.createDataFrame([("before", before), ("after", folders())], "state string, tombstones long")
+
+
+@register("SELECT * FROM (VALUES ('few', FALSE), ('many', TRUE), ('old', TRUE), ('one', FALSE), ('off', FALSE), ('rebuild', TRUE), ('no_rebuild', FALSE)) v(rule, due)")
+def compaction_policy(spark, sf_dir):
+    p, off = Compaction(3, 1000), Compaction.from_settings({"max_segments": "0", "interval_seconds": "x"})
+    rows = [("few", compaction_due(p, 2, 999)), ("many", compaction_due(p, 3, 0)), ("old", compaction_due(p, 2, 1000)), ("one", compaction_due(p, 1, 9999)), ("off", compaction_due(off, 99, 9999)), ("rebuild", should_rebuild(3, 10)), ("no_rebuild", should_rebuild(2, 10))]
+    return spark.createDataFrame(rows, "rule string, due boolean")
+
+
+@register("SELECT vec_id AS id, g.i - 1 AS place, round(embedding[g.i]::DOUBLE, 6) AS x FROM embeddings, range(1, 5) g(i)")
+def vector_preview(spark, sf_dir):
+    rows = points(spark, sf_dir).select("id", F.posexplode(V.preview("vector", 4, 6)).alias("place", "x"))
+    return rows.select("id", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@register("SELECT event_id AS id, 'code' AS kind, (dense_rank() OVER (ORDER BY event_type) - 1)::DOUBLE AS position FROM events")
+def colour_categories(spark, sf_dir):
+    e = events(spark, sf_dir).select("id", F.to_json(F.struct(F.col("event_type").alias("type"))).alias("payload"))
+    return explore.colour_codes(e, "type")
+
+
+@register("SELECT event_id AS id FROM events")
+def empty_filter(spark, sf_dir):
+    return events(spark, sf_dir).where(Filter().column()).select("id")
+
+
+@register(_knn(P, DOT, where="label = 3").replace("SELECT id, round", "SELECT id, label, round"))
+def knn_with_payload(spark, sf_dir):
+    p = points(spark, sf_dir)
+    hits = search.top_k(p, vector_of(p, 0), 10, "cosine", Filter(must=[Condition("label", match=3)]), ("payload",))
+    return rounded(hits).select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"), "score")
+
+
+@register("SELECT * FROM (VALUES ('version', 1::BIGINT), ('tag', 0), ('branch', 1), ('head', 1)) v(selector, version)")
+def selector_precedence(spark, sf_dir):
+    c = _versioned(spark, sf_dir, "selector_precedence")
+    head = c.head()
+    asked = {"version": At(version=1, tag="base"), "tag": At(tag="base", branch="work"), "branch": At(branch="work"), "head": At()}
+    return spark.createDataFrame([(n, c.log.resolve(a, head.version, head.refs, head.manifest).version) for n, a in asked.items()], "selector string, version long")
+
+
+@register(f"""WITH {P}, q AS (SELECT id AS query_id, d AS v FROM p WHERE id % 50 = 0),
+r AS (SELECT query_id, id, {DOT} AS s, row_number() OVER (PARTITION BY query_id ORDER BY {DOT} DESC, id) AS rank FROM p, q WHERE label >= 5)
+SELECT query_id, id, round(s, 5) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def ann_exact_fallback(spark, sf_dir):
+    """An index that probes every cell, over the rows that a filter leaves, answers exactly."""
+    p = points(spark, sf_dir)
+    index = ann.IvfIndex.build(p.where("label >= 5"), 8, "dot", probes=8)
+    asked = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    return index.search_many(asked, 5).withColumn("score", F.round("score", 5) + F.lit(0.0))

@@ -60,11 +60,19 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def expand_corpus(corpus: DataFrame, framings: Sequence[str], n: int) -> DataFrame:
-    """n documents: every text in each framing ('{}' stands for the text), framing by framing."""
-    frames = F.array(*[F.lit(f) for f in framings])  # a given short list
-    rows = corpus.select("text", "category", F.posexplode(frames).alias("framing", "frame"))
-    text = F.replace(F.col("frame"), F.lit("{}"), F.col("text"))
-    return rows.orderBy("framing", "category", "text").limit(n).select(text.alias("text"), "category")
+    """n documents: every text in each framing ('{}' stands for the text), framing by framing.
+
+    Whole framings need no order: only the last one, if n ends inside it, is cut at a place in order of category and text.
+    """
+    size = corpus.count()
+    whole, rest = divmod(n, size) if size else (len(framings), 0)
+    text = lambda f: F.replace(F.lit(f), F.lit("{}"), F.col("text"))
+    frames = F.array(*[F.struct(text(f).alias("text"), F.col("category")) for f in framings[:whole]])  # a given short list
+    out = corpus.select(F.inline(frames)) if whole else corpus.limit(0).select("text", "category")
+    if rest and whole < len(framings):
+        last = corpus.orderBy("category", "text").limit(rest).select(text(framings[whole]).alias("text"), "category")
+        out = out.unionByName(last)
+    return out
 
 
 def embed(corpus: DataFrame, model: Callable[[Column], Column]) -> DataFrame:

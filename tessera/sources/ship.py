@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_tessera_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp()) / "tessera.zip"
+    folder = tempfile.mkdtemp()  # the driver serves the file from here to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "tessera.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))

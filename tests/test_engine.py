@@ -11,8 +11,8 @@ from tessera.functions import vectors as V
 from tessera.functions.filters import Condition, Filter, Range, json_path, parse_conditions
 from tessera.operators import ann, compose, explore, search
 from tessera.plans.catalog import Catalog
-from tessera.plans.collection import AlreadyExists, Collection, DimensionMismatch, NotFound, import_collection
-from tessera.plans.policy import CommitTrigger, Compaction, CompactionTrigger, Versioning, should_rebuild
+from tessera.plans.collection import AlreadyExists, Collection, Conflict, DimensionMismatch, NotFound, import_collection
+from tessera.plans.policy import Compaction, Versioning, compaction_due, pending_after_commit, should_rebuild
 from tessera.plans.versions import At, Retention, VersionError
 from tessera.sources import points as sources
 
@@ -195,18 +195,12 @@ def test_auto_commit(spark, tmp_path):
 
 
 def test_policies():
-    now = [0]
-    t = CommitTrigger(Versioning(interval_ms=100), lambda: now[0])
-    now[0] = 500
-    assert not t.due()
-    t.record(1)
-    assert t.due()
-    t.committed()
-    assert t.pending == 0 and not t.due()
-    c = CompactionTrigger(Compaction(3, 1000), lambda: now[0])
-    assert not c.due(1) and c.due(3) and not c.due(2)
-    now[0] += 1000
-    assert c.due(2)
+    by_count, by_time = Versioning(every_n_writes=100), Versioning(interval_ms=100)
+    assert [pending_after_commit(by_count, n, 10**9) for n in (0, 99, 100, 130, 250)] == [None, None, 0, 30, 150]
+    assert [pending_after_commit(by_time, n, t) for n, t in ((0, 500), (1, 99), (1, 100))] == [None, None, 0]
+    assert pending_after_commit(Versioning(), 10**6, 10**6) is None and pending_after_commit(Versioning(10, 5), 3, 5) == 0
+    policy = Compaction(3, 1000)
+    assert [compaction_due(policy, n, t) for n, t in ((1, 9999), (2, 999), (2, 1000), (3, 0))] == [False, False, True, True]
     assert Compaction.from_settings({"max_segments": "0", "interval_seconds": "x"}) == Compaction(None, None)
     assert Compaction.from_settings({}) == Compaction()
     assert should_rebuild(3, 10) and not should_rebuild(2, 10) and not should_rebuild(0, 0)
@@ -304,6 +298,112 @@ def test_replayed_batch(box):
     assert box.count() == 1
 
 
+def test_two_writers_conflict(spark, box):
+    """Both have read the same head: one batch is published, the other writer is told, and nothing is lost after a retry."""
+    other = Collection(spark, box.root, lambda: 1000, retries=0)
+    stale = other.head()
+    add(box, 3)
+    fresh, other.head = other.head, lambda: stale
+    with pytest.raises(Conflict):
+        add(other, 2, 3)
+    other.head = fresh
+    assert add(other, 2, 3).first_id == 3 and box.count() == 5
+    heads = iter([stale])
+    other.retries, other.head = 1, lambda: next(heads, None) or fresh()
+    assert add(other, 1, 5).first_id == 5 and sorted(r.id for r in box.read().collect()) == list(range(6))
+
+
+def test_crash_after_each_file_operation(spark, tmp_path):
+    """A writer dies after its k-th file operation; whatever k is, what was published stays and the next commit works."""
+    class Crash(Exception):
+        pass
+
+    k = 0
+    while True:
+        root = f"file://{tmp_path}/c{k}"
+        c = Collection.create(spark, root, "c", 8, "dot", clock=lambda: 1000)
+        add(c, 2)
+        left = [k]
+
+        def after(f):
+            def run(*args):
+                if not left[0]:
+                    raise Crash
+                left[0] -= 1
+                return f(*args)
+
+            return run
+
+        c.files.create, c.files.delete = after(c.files.create), after(c.files.delete)
+        try:
+            c.write_batch([(wave(8, 9), None)], deletes=[0], commit=True, tag="t")
+            done = True
+        except Crash:
+            done = False
+        again = Collection(spark, root, lambda: 1000)
+        ids = {r.id for r in again.read().collect()}
+        assert ids in ({0, 1}, {1, 2}) and (ids == {1, 2} or not done)
+        v = again.commit("after")
+        assert [r.version for r in again.versions().collect()] == list(range(v + 1)) and v == (1 if ids == {1, 2} else 0)
+        assert again.count(At(version=v)) == 2 and (ids == {0, 1} or again.count(At(tag="t")) == 2)
+        if done:
+            break
+        k += 1
+    assert k >= 2
+
+
+def test_purge_and_gc_remove_tombstones(box):
+    add(box, 6)
+    box.write_batch(deletes=[1], commit=True)
+    add(box, 2, 6)
+    box.compact(purge=True)
+    assert box.head().tombstones == [] and box.count() == 7 and box.count(At(version=0)) == 5
+    box.commit()
+    box.gc(Retention(1, False, False))
+    assert box.files.names(f"{box.root}/tombstones") == [] and len(box.files.names(f"{box.root}/segments")) == 1 and box.head().dropped == []
+
+
+def test_insert_with_ids(spark, box):
+    box.insert_with_ids(frame(spark, 3, first=10))
+    assert add(box, 1).first_id == 13 and sorted(r.id for r in box.read().collect()) == [10, 11, 12, 13]
+    for bad in (frame(spark, 1, first=5), frame(spark, 1, first=20).union(frame(spark, 1, first=20))):
+        with pytest.raises(ValueError):
+            box.insert_with_ids(bad)
+
+
+def test_maintenance_loop(box):
+    import threading
+    import time
+
+    for k in range(8):
+        add(box, 1, k)
+    stop = threading.Event()
+    thread = box.maintenance_loop(0.1, stop)
+    end = time.time() + 60
+    while len(box.head().segments) != 1 and time.time() < end:
+        time.sleep(0.2)
+    stop.set()
+    thread.join()
+    assert len(box.head().segments) == 1 and box.count() == 8
+
+
+def test_filter_corners(spark):
+    rows = ['{"x": {"a": 3}}', '{"x": {"a": 3.0}}', '{"x": [1, 2.0]}', '{"x": 7}', """{"it's a \\"key\\"": 5}"""]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, payload string")
+    ids = lambda key, want: [r.id for r in df.where(Filter(must=[Condition(key, match=want)]).column()).collect()]
+    assert ids("x", {"a": 3}) == [0] and ids("x", {"a": 3.0}) == [1] and ids("x", [1, 2.0]) == [2] and ids("x", [1, 2]) == []
+    assert ids("x", 10**25) == [] and ids("x", 7) == [3] and ids("""it's a "key\"""", 5) == [4]
+
+
+def test_export_folder(spark, box, tmp_path):
+    add(box, 12)
+    box.commit(tag="t")
+    box.write_batch(deletes=[3])
+    box.export(f"file://{tmp_path}/out")
+    c = import_collection(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/copy")
+    assert c.count(At(tag="t")) == 12 and c.count() == 11 and add(c, 1).first_id == 12
+
+
 def test_export_import(spark, box, tmp_path):
     add(box, 12)
     box.commit(tag="t")

@@ -667,10 +667,9 @@ def compaction_policy(spark, sf_dir):
     return spark.createDataFrame(rows, "rule string, due boolean")
 
 
-@register("SELECT vec_id AS id, g.i - 1 AS place, round(embedding[g.i]::DOUBLE, 6) AS x FROM embeddings, range(1, 5) g(i)")
+@register("""SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: printf('%.6f', x::DOUBLE)), ', ') || ', …]' AS preview FROM embeddings""")
 def vector_preview(spark, sf_dir):
-    rows = points(spark, sf_dir).select("id", F.posexplode(V.preview("vector", 4, 6)).alias("place", "x"))
-    return rows.select("id", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 6).alias("x"))
+    return points(spark, sf_dir).select("id", V.preview("vector", 4, 6).alias("preview"))
 
 
 @register("SELECT event_id AS id, 'code' AS kind, (dense_rank() OVER (ORDER BY event_type) - 1)::DOUBLE AS position FROM events")

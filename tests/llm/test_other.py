@@ -540,6 +540,56 @@ def test_quality_model(spark, edge_docs, no_docs):
     assert quality_model.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_held_out(spark):
+    """Fitted on one half of the labels, by hash, it decides the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(2)) == 0
+    rows = {r.doc_id: r.kept for r in quality_model.score(docs, labels.where(half)).collect()}
+    other = [(r.quality, rows[r.doc_id]) for r in labels.where(~half).collect()]
+    good, bad = ([k for q, k in other if q == x] for x in (1, 0))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.15, (len(good), np.mean(good), len(bad), np.mean(bad))
+
+
+def brute_posteriors(rows):
+    """Site posteriors and probabilities from the evidence, in plain Python: (evidence, host, path) of each document."""
+    voting = [r for r in rows if r[0] > 0]
+
+    def sums(key):
+        out = defaultdict(lambda: [0, 0.0, 0.0])
+        for r in voting:
+            s = out[key(r)]
+            s[0], s[1], s[2] = s[0] + 1, s[1] + r[0], s[2] + r[0] ** 2
+        return out
+
+    hosts, paths = sums(lambda r: r[1]), sums(lambda r: r[1:])
+
+    def strength(sites):
+        n, s, ss = (sum(v[k] for v in sites.values()) for k in range(3))
+        q = sum(v[1] ** 2 / v[0] for v in sites.values())
+        within = (ss - q) / max(n - len(sites), 1)
+        between = max(q - s * s / n - (len(sites) - 1) * within, 0)
+        spread = between / max(n - sum(v[0] ** 2 for v in sites.values()) / n, 1)
+        return s / n, min(max(within / max(spread, 1e-9), 5), 1e7)
+
+    mu, k_host = strength(hosts)
+    k_path = strength(paths)[1]
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = []
+    for p, h, l in rows:
+        own = 1 if p > 0 else 0
+        a = (hosts[h][1] - p + k_host * mu) / (hosts[h][0] - own + k_host)
+        b = (paths[h, l][1] - p + k_path * a) / (paths[h, l][0] - own + k_path)
+        out.append((a, b, 1 / (1 + np.exp(-(logit(p) + logit(b) - logit(mu)))) if own else 0.0))
+    return out
+
+
+def test_quality_posteriors_against_brute_force(spark, docs_table):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality_model.score(docs_table, labels).join(docs_table.select("doc_id", "source", "lang"), "doc_id").collect()
+    want = brute_posteriors([(r.evidence, r.source or "?", r.lang or "?") for r in rows])
+    assert np.allclose([(r.host_posterior, r.path_posterior, r.probability) for r in rows], want, atol=1e-6)
+
+
 def test_quality_shrinkage(spark):
     """A sparse site stays near the global prior, a large one with its own evidence moves."""
     junk, fine = "### $$$ %%% ###" * 6, "a quiet line of plain words that reads well enough"
@@ -681,12 +731,28 @@ def test_pipeline_against_brute_force(spark):
     one = cut(stages[1](spark, good, SF), "t")
     assert ids(one) == {i for i, k, *_ in brute_exact(good.collect()) if i == k}
     apart = cut(stages[2](spark, one, SF), "t")
-    assert ids(apart) == {i for i, _, _, kept in brute_near(one.collect()) if kept}
+    assert ids(apart) == {i for i, _, _, kept in brute_near(one.collect(), 80) if kept}
     mixed = cut(stages[3](spark, apart, SF), "t")
     assert ids(mixed) == {i for i, (_, _, taken) in brute_mix(apart.collect(), corpus_pipeline.MIX_SHARE, 1, lambda k: 1).items() if taken}
     check(stages[4](spark, mixed, SF).collect(), mixed.collect(), Tokenizer.from_file(queries.tokenizer_path()), 4096)
 
 
+def test_pipeline_edges(spark, edge_docs, no_docs):
+    """Every stage takes nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables, and loses no distinct text."""
+    import corpus_pipeline
+
+    at = edge_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, no_docs, SF).count() == 0 and stage(spark, at, SF).columns == edge_docs.columns, name
+        at = corpus_pipeline.cut(stage(spark, at, SF), "edge")
+        if name == "exact dedup":
+            norm = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in at.collect()]
+            assert len(norm) == len(set(norm))
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, SF)
+    assert packed.select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
+    assert corpus_pipeline.STAGES[-1][1](spark, no_docs, SF).count() == 0
+
+
 def test_pipeline_near_threshold(spark):
     """The near stage collapses pairs from similarity 0.80 on, 0.80 itself included, and none below."""
     from test_dedup import brute_near

@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written and read again as the next one's docs.
 All but the last return the columns of `documents`.
+
+Edge cases, in every stage: rows are known by doc_id and text together, so null and repeated ids carry no other row along; null,
+empty and blank texts are rejected by the quality stage, and would be one group of copies, linked with nothing, without tokens
+and one piece with the end id alone in the later ones; texts of any length are read whole; ties go to the smaller doc_id, then
+by a digest of the text; of equal rows one stays after exact dedup; null lang or source is a site and a leaf of its own; an
+empty table gives an empty result; extra columns, whatever their names, are kept by all stages but the last.
 """
 
 from __future__ import annotations

@@ -8,15 +8,15 @@
    count of the XOR of two sketches, J ~ 1 + bits / (4 k) * ln(1 - 2 c / bits) for k samples; `loose` or more agrees.
    Only these stars are passed on, never a bucket's pairs. Their components are families: every link lies inside one.
 3. Inside a family, members are compared on full sets with the leaders they hang on. Members that this leaves outside
-   the family's largest part are then compared with all its members, block by block. Components of the exact links are the result.
+   the family's largest part are then compared with all its members, one block of each a task. Components of the exact links are the result.
 
 With 24 bands of 5 rows a pair at the similarity 0.85 shares no bucket with probability 8e-7, and the loose sketch
 bound 0.65 lies more than 4 standard deviations below it. All links inside a family are confirmed on full sets
 of 64-bit shingle hashes.
 
 Hot groups: copies of one sequence are one aggregate row; a bucket or family of near copies of any size is one star,
-found by joins that adaptive execution splits; no row is copied more often than once for each 1024 members of
-a family that its leaders don't explain. The bitmap that spares other texts the shuffle has a fixed size of 2^24 bits: it
+found by joins that adaptive execution splits; where leaders don't explain a family, a task compares at most about
+`heavy` of the members left with `heavy` of all, and a row is copied once for each such block it meets. The bitmap that spares other texts the shuffle has a fixed size of 2^24 bits: it
 saves little once families have some 10 million distinct texts, the result stays the same.
 
 Edge cases: null or wordless text has no shingles, is linked with nothing and is kept; fewer than five words make
@@ -205,7 +205,7 @@ def _exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sx") + F.size("sy") - common)).select("a", "b")
 
 
-def near_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 85, bands: int = 24, rows: int = 5, bits: int = 512, loose: float = 0.65, rounds: int = 3, heavy: int = 1024) -> DataFrame:
+def near_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 85, bands: int = 24, rows: int = 5, bits: int = 512, loose: float = 0.65, rounds: int = 3, heavy: int = 512) -> DataFrame:
     """One row per row of docs: key, digest, n_shingles, component_id, kept, stays."""
     text_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), row_digest(F.col(text)).alias("digest"))
@@ -253,19 +253,26 @@ def near_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int =
     # then members outside the largest part of their family, with all the others of it
     sizes = held.groupBy("family", "part").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy(F.col("family").alias("family2")).agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    main = cut(main.select("family2", F.col("top.part").alias("main"), F.ceil(F.col("members") / F.lit(heavy)).cast("int").alias("blocks")), "near-main")
-    rest = held.join(main, F.col("family") == F.col("family2")).withColumn("left", F.col("part") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = rest.withColumn("block", F.explode(F.when(F.col("left"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    dealt = dealt.select(F.col("node").alias("n2"), "family", "part", "left", "own", "block").join(full.select("node", "shingles"), F.col("node") == F.col("n2")).select("node", "family", "part", "left", "own", "block", "shingles")
+    blocks = lambda c: F.ceil(c / F.lit(heavy)).cast("int")
+    main = cut(main.select("family2", F.col("top.part").alias("main"), blocks(F.col("members")).alias("blocks"), blocks(F.col("members") - F.col("top.m")).alias("lefts")), "near-main")
+    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    rest = held.join(main, F.col("family") == F.col("family2")).withColumn("left", F.col("part") != F.col("main")).withColumn("own", block("blocks", 1)).withColumn("mine", block("lefts", 2))
+    # a task is a block of left members and a block of all members, so that it is bounded on both sides
+    pair = lambda l, o: F.struct(l.alias("mine2"), o.alias("own2"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda l: pair(l, F.col("own")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: pair(F.col("mine"), o))
+    dealt = rest.withColumn("place", F.explode(F.when(F.col("left"), F.array_union(as_member, as_left)).otherwise(as_member)))
+    dealt = dealt.select(F.col("node").alias("n2"), "family", "part", "place.*", (F.col("left") & (F.col("mine") == F.col("place.mine2"))).alias("left"), (F.col("own") == F.col("place.own2")).alias("own"))
+    dealt = dealt.join(full.select("node", "shingles"), F.col("node") == F.col("n2")).select("node", "family", "part", "mine2", "own2", "left", "own", "shingles")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        """Links of left members with what the block has as its own; parts that are joined already aren't compared."""
+        """Links of the block's left members with its own members; parts that are joined already aren't compared."""
         f = f.sort_values("node")
-        found = _cross_links([np.asarray(x, np.int64) for x in f["shingles"]], f["part"].to_numpy(), f["left"].to_numpy(), (f["own"] == f["block"]).to_numpy(), percent)
+        found = _cross_links([np.asarray(x, np.int64) for x in f["shingles"]], f["part"].to_numpy(), f["left"].to_numpy(), f["own"].to_numpy(), percent)
         nodes = f["node"].to_numpy()
         return pd.DataFrame({"a": [nodes[a] for a, _ in found], "b": [nodes[b] for _, b in found]}, dtype="int64")
 
-    more = dealt.groupBy("family", "block").applyInPandas(compare, "a long, b long")
+    more = dealt.groupBy("family", "mine2", "own2").applyInPandas(compare, "a long, b long")
     groups = connected_components(links.unionByName(more))  # representatives of sequences
 
     # every row hangs on the representative of its sequence; a component's name is its least doc_id

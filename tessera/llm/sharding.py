@@ -96,8 +96,13 @@ def _split(rows: DataFrame, dims: list[str], leaves: dict[int, int], span: dict[
     return cut(moved.select(*rows.columns), "kd"), after
 
 
-def kd_shards(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] | None = None, text: str = "text", key: str = "doc_id", tight: float = 0.0005, loose: float = 0.002) -> DataFrame:
-    """One row per document: key, size, text_crc32, law, shard, slot, grown_shard (null)."""
+def kd_shards(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] | None = None, text: str = "text", key: str = "doc_id", tight: float = 0.0005, loose: float = 0.002, target_bytes: int | None = None) -> DataFrame:
+    """One row per document: key, size, text_crc32, law, shard, slot, grown_shard (null).
+
+    target_bytes, if given, decides the number of shards: as many leaves as make their mean the target or less.
+    """
+    if target_bytes is not None and target_bytes < 1:
+        raise ValueError("target_bytes must be positive")
     dims = dimensions or default_dimensions()
     raw = F.coalesce(F.col(text), F.lit(""))
     mask = lambda c: F.shiftrightunsigned(c, 40)  # noqa: E731  24 bits
@@ -108,8 +113,10 @@ def kd_shards(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] |
     )
     rows = cut(rows, "kd")
     names = [f"d_{d}" for d in dims]
-    ends = rows.agg(*[(F.max(d) - F.min(d)).alias(d) for d in names]).first()
+    ends = rows.agg(*[(F.max(d) - F.min(d)).alias(d) for d in names], F.coalesce(F.sum("w"), F.lit(0)).alias("__w")).first()
     span = {d: ends[d] or 1.0 for d in names}
+    if target_bytes is not None:
+        shards = max(1, -(-ends["__w"] // target_bytes))
     leaves = {0: shards}
     while max(leaves.values()) > 1:
         rows, leaves = _split(rows, names, leaves, span, tight, loose)

@@ -53,6 +53,44 @@ def test_shards_edges(edge_docs, no_docs):
     assert {r.shard for r in shard_rows(edge_docs, 1)[0]} == {0}
 
 
+def plain_tree(points, first, leaves, span):
+    """points: (id, weight, place in each dimension). The leaf of each id, by sorting and a running sum."""
+    if leaves == 1 or not points:
+        return {p[0]: first for p in points}
+    wide = max(range(len(span)), key=lambda d: (max(p[2][d] for p in points) - min(p[2][d] for p in points)) / span[d])
+    points = sorted(points, key=lambda p: p[2][wide])
+    half = leaves // 2
+    aim, run, k = sum(p[1] for p in points) * half / leaves, 0, 0
+    while run + points[k][1] < aim:
+        run += points[k][1]
+        k += 1
+    if run + points[k][1] - aim < aim - run:  # the nearer edge of the row that the median falls into
+        k += 1
+    return plain_tree(points[:k], first, half, span) | plain_tree(points[k:], first + half, leaves - half, span)
+
+
+@pytest.mark.parametrize("by_target", [False, True])
+def test_shards_against_a_plain_tree(spark, by_target):
+    rng = np.random.default_rng(5)
+    n = 150
+    x, y, size = rng.permutation(n) * 7.0, rng.permutation(n) * 3.0 + 1, rng.integers(1, 60, n)
+    rows = [(i, "t" * int(size[i]), float(x[i]), float(y[i])) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x double, y double")
+    total = int(sum(size + 1))
+    target = -(-total // 6)
+    kw = {"target_bytes": target} if by_target else {"shards": 6}
+    got = sharding.kd_shards(docs, dimensions={"x": F.col("x"), "y": F.col("y")}, **kw).collect()
+    want = plain_tree([(i, len(t) + 1, (a, b)) for i, t, a, b in rows], 0, 6, [np.ptp(x), np.ptp(y)])
+    assert {r.doc_id: r.shard for r in got} == want
+    if by_target:
+        sizes = Counter()
+        for r in got:
+            sizes[r.shard] += r.size
+        assert len(sizes) == 6 and max(sizes.values()) <= target + 60
+        with pytest.raises(ValueError):
+            sharding.kd_shards(docs, target_bytes=0)
+
+
 # --- WARC
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.filters import Filter
@@ -17,6 +17,14 @@ from tessera.functions.vectors import Metric, order
 from tessera.operators.search import batch_top_k, top_k
 
 
+def _aim(queries: np.ndarray, metric: Metric) -> np.ndarray:
+    """Rows as they are compared with centres: by cosine at length one, so that a query's length changes no cell."""
+    if metric is not Metric.COSINE:
+        return queries
+    length = np.linalg.norm(queries, axis=1, keepdims=True)
+    return queries / np.where(length > 0, length, 1)
+
+
 class IvfIndex:
     """Cells fitted on at most `fit_rows` points (by hash); every point is assigned. Tables: rows with `cell`."""
 
@@ -37,7 +45,7 @@ class IvfIndex:
 
     def ordered_cells(self, query: Sequence[float]) -> list[int]:
         """All cells, nearest centre first."""
-        return [int(c) for c in np.argsort(((self.centres - np.asarray(query)) ** 2).sum(1), kind="stable")]
+        return [int(c) for c in np.argsort(((self.centres - _aim(np.asarray([query], float), self.metric)) ** 2).sum(1), kind="stable")]
 
     def near_cells(self, query: Sequence[float]) -> list[int]:
         return self.ordered_cells(query)[: self.probes]
@@ -51,18 +59,28 @@ class IvfIndex:
         stored.recall = self.recall
         return stored
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, schema: str, centres: Sequence[Sequence[float]], metric: Metric | str, probes: int) -> IvfIndex:
+        """An index that `write` stored; schema: of its rows without `cell`."""
+        rows = spark.read.schema(f"{schema}, cell int").parquet(path)
+        return cls(rows, np.array(centres), Metric.parse(metric), probes)
+
+    def near_rows(self, query: Sequence[float]) -> DataFrame:
+        """The rows of the probed cells."""
+        return self.rows.where(F.col("cell").isin(self.near_cells(query)))
+
     def approximate(self, query: Sequence[float], k: int, where: Filter | Column | None = None) -> DataFrame:
-        return top_k(self.rows.where(F.col("cell").isin(self.near_cells(query))), query, k, self.metric, where)
+        return top_k(self.near_rows(query), query, k, self.metric, where)
 
     def _places(self, queries: DataFrame) -> DataFrame:
         """query_id, vector, cell, place: each query's cells, nearest centre (place 0) first."""
-        centres, squares = self.centres, (self.centres**2).sum(1)
+        centres, squares, metric = self.centres, (self.centres**2).sum(1), self.metric
 
         def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if f.empty:
                     continue
-                v = np.array(f["vector"].tolist(), float)
+                v = _aim(np.array(f["vector"].tolist(), float), metric)
                 near = np.argsort(squares - 2 * v @ centres.T, axis=1, kind="stable")
                 n = near.shape[1]
                 at = np.repeat(np.arange(len(f)), n)

@@ -21,7 +21,7 @@ import tarfile
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tessera.functions.filters import Filter
 from tessera.functions.vectors import Metric, finite, l2_normalize
 from tessera.operators import compose, search
+from tessera.operators.ann import IvfIndex
 from tessera.plans.policy import Clock, Compaction, Versioning, compaction_due, pending_after_commit, system_clock
 from tessera.plans.versions import At, Manifest, Refs, Retention, Segment, VersionLog, gc_plan
 from tessera.sources.fs import Files
@@ -83,7 +84,7 @@ class Head:
     branches: dict[str, int] = field(default_factory=dict)
     manifest: Manifest | None = None
     dropped: list[str] = field(default_factory=list)  # folders that no working state needs; old versions may
-    index: dict[str, Any] | None = None
+    index: dict[str, Any] | None = None  # name, segments it covers, probes, measured recall
 
     @property
     def refs(self) -> Refs:
@@ -160,7 +161,7 @@ class Collection:
             try:
                 self.files.create(self._head_file(head.number), head.to_json())
             except FileExistsError:
-                names = lambda h: {f"segments/{s.name}" for s in h.segments + h.staged} | {f"tombstones/{t}" for t in h.tombstones}
+                names = lambda h: {f"segments/{s.name}" for s in h.segments + h.staged} | {f"tombstones/{t}" for t in h.tombstones} | set(_index_files(h))
                 for name in names(head) - names(before):
                     self.files.delete(f"{self.root}/{name}")
                 if not left:
@@ -194,11 +195,8 @@ class Collection:
 
     def read(self, at: At | None = None) -> DataFrame:
         """(id, vector, payload): the live view with staged writes, or exactly a committed version."""
-        head = self.head()
-        if at is None:
-            return self._live(head.segments + head.staged, head.tombstones)
-        m = self.log.resolve(at, head.version, head.refs, head.manifest)
-        return self._live(m.segments, m.tombstones)
+        _, segments, tombstones = self._state(at)
+        return self._live(segments, tombstones)
 
     def count(self, at: At | None = None) -> int:
         return self.read(at).count()
@@ -210,11 +208,68 @@ class Collection:
         if len(vector) != self.config.dim:
             raise DimensionMismatch(f"expected {self.config.dim} components, got {len(vector)}")
 
-    def search(self, query: Sequence[float], k: int = 10, where: Filter | Column | str | Mapping | None = None, at: At | None = None, payloads: bool = False) -> DataFrame:
-        """(id, score[, payload]), best first. The query is used as given; cosine scores scale with its length."""
+    def _state(self, at: At | None) -> tuple[Head, Sequence[Segment], Sequence[str]]:
+        head = self.head()
+        if at is None:
+            return head, head.segments + head.staged, head.tombstones
+        m = self.log.resolve(at, head.version, head.refs, head.manifest)
+        return head, m.segments, m.tombstones
+
+    def search(self, query: Sequence[float], k: int = 10, where: Filter | Column | str | Mapping | None = None, at: At | None = None, payloads: bool = False, exact: bool = False, gate: float = 0.95) -> DataFrame:
+        """(id, score[, payload]), best first. The query is used as given; cosine scores scale with its length.
+
+        Exact, unless an index was built (`build_index`) whose measured recall reaches the gate.
+        """
         self._check(query)
         where = where if isinstance(where, Column) else Filter.parse(where)
-        return search.top_k(self.read(at), query, k, self.config.metric, where, ("payload",) if payloads else ())
+        keep = ("payload",) if payloads else ()
+        hits = None if exact else self._indexed(query, k, where, at, keep, gate)
+        return search.top_k(self.read(at), query, k, self.config.metric, where, keep) if hits is None else hits
+
+    def _indexed(self, query: Sequence[float], k: int, where: Filter | Column | None, at: At | None, keep: Sequence[str], gate: float) -> DataFrame | None:
+        """Hits among the probed cells and all rows of the segments that the index doesn't cover; None where the exact search is to answer.
+
+        That is: no index, one below the gate, one that covers segments outside the version asked for, or fewer than k hits.
+        """
+        head, segments, tombstones = self._state(at)
+        index = head.index
+        if index is None or index["recall"] is None or index["recall"] < gate or not set(index["segments"]) <= {s.name for s in segments}:
+            return None
+        path = f"{self.root}/indexes/{index['name']}"
+        stored = IvfIndex.read(self.spark, path, SCHEMA, json.loads(self.files.read(f"{path}.json")), self.config.metric, index["probes"])
+        rows = stored.near_rows(query).select("id", "vector", "payload")
+        later = [s for s in segments if s.name not in index["segments"]]
+        if later:
+            rows = rows.unionByName(self._rows(later))
+        if tombstones:
+            rows = search.live(rows, self._deleted(tombstones))
+        hits = search.top_k(rows, query, k, self.config.metric, where, keep)
+        found = hits.collect()  # k rows at most
+        return self.spark.createDataFrame(found, hits.schema) if len(found) == k else None
+
+    def build_index(self, cells: int, k: int = 10, gate: float = 0.95, fit_rows: int = 100_000) -> float | None:
+        """Index the working segments and return the recall@k over every id divisible by 50, by the fewest probes that reach the gate.
+
+        Deleted rows of these segments are in the index too, since older versions may show them. Rows written later are searched
+        exactly beside it; a compaction drops it. With no such id there is no recall (None) and searches stay exact.
+        """
+
+        def change(head: Head) -> float | None:
+            working = head.segments + head.staged
+            rows = self._rows(working)
+            asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+            head.dropped += _index_files(head)
+            head.index = None
+            if asked.isEmpty():
+                return None
+            name = f"index-{uuid.uuid4().hex}"
+            built = IvfIndex.build(rows, cells, self.config.metric, fit_rows=fit_rows).write(f"{self.root}/indexes/{name}")
+            recall = built.measure(asked, k, gate)
+            self.files.create(f"{self.root}/indexes/{name}.json", json.dumps(built.centres.tolist()))
+            head.index = {"name": name, "segments": [s.name for s in working], "probes": built.probes, "recall": recall}
+            return recall
+
+        return self._change(change)
 
     def search_many(self, queries: DataFrame, k: int = 10, at: At | None = None, where: Filter | Column | str | Mapping | None = None) -> DataFrame:
         where = where if isinstance(where, Column) else Filter.parse(where)
@@ -444,6 +499,8 @@ class Collection:
             rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.root}/segments/{name}")
             lo, hi, n = self._rows([Segment(name, 0, 0, 0)]).agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
             merged = Segment(name, lo if lo is not None else 0, hi if hi is not None else 0, n)
+            head.dropped += _index_files(head)
+            head.index = None
             head.dropped += [f"segments/{s.name}" for s in working] + ([f"tombstones/{t}" for t in head.tombstones] if purge else [])
             head.segments, head.staged, head.tombstones = [merged], [], [] if purge else head.tombstones
             head.last_compact_ms = self.clock()
@@ -509,8 +566,12 @@ def _folders(segments: Iterable[Segment], tombstones: Iterable[str]) -> list[str
     return [*(f"segments/{s.name}" for s in segments), *(f"tombstones/{t}" for t in tombstones)]
 
 
+def _index_files(head: Head) -> list[str]:
+    return [f"indexes/{head.index['name']}", f"indexes/{head.index['name']}.json"] if head.index else []
+
+
 def _copy(spark: SparkSession, files: Files, source: str, target: str, head: Head, history: Sequence[Manifest]) -> None:
-    """Rows are copied by Spark jobs, folder by folder; the head comes last, so an interrupted copy is no collection."""
+    """Rows are copied by Spark jobs, folder by folder; the head comes last, so an interrupted copy is no collection. An index isn't copied."""
     if files.exists(f"{target}/config.json"):
         raise AlreadyExists(target)
     folders = {f for m in history for f in _folders(m.segments, m.tombstones)} | set(_folders(head.segments + head.staged, head.tombstones))
@@ -520,7 +581,7 @@ def _copy(spark: SparkSession, files: Files, source: str, target: str, head: Hea
     log = VersionLog(files, target)
     for m in history:
         log.keep(m)
-    files.create(f"{target}/_heads/{head.number:020d}.json", head.to_json())
+    files.create(f"{target}/_heads/{head.number:020d}.json", replace(head, index=None).to_json())
     files.create(f"{target}/config.json", files.read(f"{source}/config.json"))
 
 

@@ -551,6 +551,18 @@ def ann_ivf(spark, sf_dir):
     return index.search_many(asked, 10).withColumn("recall", F.lit(index.recall))
 
 
+@register(_knn(P, DOT))
+def collection_index_search(spark, sf_dir):
+    """Search by the index of a collection's first half (recall 1 over all its ids divisible by 50) and exactly in the rows written later."""
+    p = points(spark, sf_dir).select("id", "vector", "payload")
+    half = p.agg(F.max("id")).first()[0] // 2
+    c = Collection.create(spark, f"{scratch(spark, 'collection_index')}/c", "indexed", 64, "dot")
+    c.insert_with_ids(p.where(F.col("id") <= half))
+    c.build_index(16, gate=1.0)
+    c.insert_with_ids(p.where(F.col("id") > half))
+    return rounded(c.search(vector_of(p, 0), 10, gate=1.0))
+
+
 @register("SELECT vec_id AS id, label FROM embeddings WHERE vec_id >= 5")
 def streaming_ingest(spark, sf_dir):
     """Points as a file stream of upserts (input order by id), then a stream of deletes; each batch applied twice, counted once."""

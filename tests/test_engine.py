@@ -496,6 +496,38 @@ def test_ann_tuning(spark, tmp_path):
     assert stored.rows.count() == 400
 
 
+def test_collection_index(spark, tmp_path):
+    c = Collection.create(spark, f"file://{tmp_path}/c", "c", 8, "cosine")
+    assert c.build_index(3) is None and c.search(wave(8, 1), 5).count() == 0  # empty: no recall, exact search
+    c.upsert(frame(spark, 300).select("vector", "payload"))
+    before = c.commit()
+    q = [100 * x for x in wave(8, 7)]  # a query's length decides no cell
+    want = [tuple(r) for r in c.search(q, 10, payloads=True).collect()]
+    assert c.build_index(6, gate=1.0) == 1.0
+    index = c.head().index
+    assert c._indexed(q, 10, None, None, (), 1.0) is not None
+    c._change(lambda head: head.index.update(probes=6))  # every cell: exact in all that follows
+    near = lambda rows: [(r[0], pytest.approx(r[1], rel=1e-6), *r[2:]) for r in rows]
+    got = lambda **k: [tuple(r) for r in c.search(q, 10, **k).collect()]
+    assert got(payloads=True) == near(want) and got(payloads=True, exact=True) == near(want)
+    c.delete(want[0][0])
+    c.upsert(frame(spark, 40).select("vector", "payload"))  # later rows are searched exactly beside the index
+    assert got() == near(got(exact=True)) and {r[0] for r in got()} & set(range(300, 340))
+    assert got(at=At(version=before), payloads=True) == near(want)  # the deleted row too
+    few = {"must": [{"key": "bucket", "match": 3}]}
+    assert got(where=few) == near(got(where=few, exact=True))
+    assert c._indexed(q, 1000, None, None, (), 0.5) is None  # fewer than k hits
+    c._change(lambda head: head.index.update(recall=0.9))
+    assert c._indexed(q, 10, None, None, (), 0.95) is None and c._indexed(q, 10, None, None, (), 0.9) is not None
+    c.export(f"file://{tmp_path}/out")
+    assert Collection(spark, f"file://{tmp_path}/out").head().index is None
+    c.compact()
+    assert c.head().index is None and f"indexes/{index['name']}" in c.head().dropped
+    assert got(at=At(version=before), payloads=True) == near(want)
+    c.gc(Retention())
+    assert not c.files.exists(f"{c.root}/indexes/{index['name']}") and not c.files.exists(f"{c.root}/indexes/{index['name']}.json")
+
+
 def test_figures(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 3, 2, 4, 4]], "v double")
     row = compose.latency_profile(df, "v", (0, 50, 100)).first()

@@ -13,12 +13,15 @@ from tessera.sources.ship import ship_package
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(vector, payload) from lines {"vector": [...], "payload": {...}}.
+    """(vector, payload) from lines {"vector": [...], "payload": {...}}, in order of file path (as a URI) and place in the file.
 
     Blank lines are skipped, elements that aren't numbers are 0, a null payload is none; a line without a vector fails the read.
+    The order takes a sort: Spark reads large pieces of files before small ones, whatever their names.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.parse_json("value").alias("v"))
+    place = ("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    ordered = lines.select("value", *place).orderBy("file_path", "file_block_start", "line")
+    parsed = ordered.select(F.parse_json("value").alias("v"))
     raw = F.try_variant_get("v", "$.vector", "array<variant>")
     number = lambda x: F.when(F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(x, "$", "float"))
     vector = F.transform(raw, lambda x: F.coalesce(number(x), F.lit(0.0).cast("float")))

@@ -445,6 +445,24 @@ def test_sources(spark, tmp_path):
     assert made.vector == [1.0] and json.loads(made.payload)["category"] == "c"
 
 
+def test_jsonl_ids_follow_files_and_lines(spark, tmp_path):
+    """Later files are longer, and each is cut into several pieces: Spark reads neither files nor pieces in their order."""
+    sizes, at = (1, 40, 3, 200, 90), 0
+    (tmp_path / "in").mkdir()
+    for k, n in enumerate(sizes):
+        (tmp_path / f"in/part-{k}.jsonl").write_text("".join(json.dumps({"vector": [1, 0], "payload": {"n": at + i, "pad": "x" * (i % 7 * 20)}}) + "\n" for i in range(n)))
+        at += n
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        for metric in ("dot", "cosine"):
+            c = Collection.create(spark, f"file://{tmp_path}/{metric}", "j", 2, metric)
+            c.upsert(sources.read_jsonl(spark, f"file://{tmp_path}/in"))
+            assert sorted((r.id, json.loads(r.payload)["n"]) for r in c.read().collect()) == [(i, i) for i in range(at)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_scroll(spark):
     page, total = search.scroll(frame(spark, 10), 8, 5)
     assert ([r.id for r in page.collect()], total) == ([8, 9], 10)
